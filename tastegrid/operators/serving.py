@@ -120,9 +120,15 @@ def als_lists(als_recommendations: DataFrame) -> DataFrame:
 
 
 def global_list(fallback: DataFrame) -> DataFrame:
-    """The overall top list as one array in one row."""
+    """The overall top list in one row and column, worded both as a fallback (``listed``) and as trending."""
     rows = fallback.filter(F.col("fallback_type") == "global").withColumn("score", F.col("popularity_score"))
-    return normalize_recs(rows).agg(_collected(F.col("rank"), F.col("item_id")).alias("recs"))
+    one = normalize_recs(rows).agg(_collected(F.col("rank"), F.col("item_id")).alias("recs"))
+    return one.select(
+        F.struct(
+            _explained(F.col("recs"), F.lit(GLOBAL_REASON)).alias("listed"),
+            _explained(F.col("recs"), F.lit(TRENDING_REASON)).alias("trending"),
+        )
+    )
 
 
 def genre_lists(fallback: DataFrame) -> DataFrame:
@@ -195,7 +201,7 @@ def route_requests(
 def selected_genre(answers: DataFrame, everyone: Column) -> DataFrame:
     """Add ``selected_genre``: the requested genre, else the first genre of the first recommendation."""
     own = F.when(F.col("route") == "hybrid", F.col("hybrid")).when(F.col("route") == "als_legacy", F.col("direct"))
-    leading = F.get(F.coalesce(own, everyone), F.lit(0))["genres"]
+    leading = F.get(F.coalesce(own, everyone["listed"]), F.lit(0))["genres"]
     derived = F.trim(primary_genre(leading))
     return answers.withColumn("selected_genre", F.coalesce("genre", F.when(derived != "", derived)))
 
@@ -209,7 +215,7 @@ def serve_fallback(answers: DataFrame, everyone: Column) -> DataFrame:
     reason = F.concat(F.lit(GENRE_REASON), F.col("genre"))
     of_genre = F.when(F.col("genre").isNotNull() & (F.size("genre_list") > 0), F.col("genre_list"))
     listed = F.when(of_genre.isNotNull(), _explained(_first(of_genre, size), reason)).otherwise(
-        _explained(_first(everyone, size), F.lit(GLOBAL_REASON))
+        _first(everyone["listed"], size)
     )
     chosen = F.when(F.col("route") == "hybrid", F.col("hybrid")).when(F.col("route") == "als_legacy", F.col("direct"))
     return answers.withColumn("recommendations", F.coalesce(chosen, listed))
@@ -261,6 +267,6 @@ def serve_batch(
         "recommendations",
         score_rows(F.col("recommendations")).alias("scores"),
         because_you_watched(F.col("recommendations"), config.because_length).alias("because_you_watched"),
-        _explained(_first(everyone, wide), F.lit(TRENDING_REASON)).alias("top_trending"),
+        _first(everyone["trending"], wide).alias("top_trending"),
         _explained(_first(F.col("genre_list"), wide), by_genre_reason).alias("top_by_genre"),
     )

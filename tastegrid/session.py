@@ -35,7 +35,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     root = shared_dir(spark)
     if root is None:
         return f"{tempfile.mkdtemp(prefix='tastegrid-')}/{name}"
-    return f"{root.rstrip('/')}/tastegrid/{name}-{uuid.uuid4().hex}"
+    return "/".join([root.rstrip("/"), f"tastegrid-{uuid.uuid4().hex}", name])
 
 
 def reuse(df: DataFrame) -> DataFrame:
