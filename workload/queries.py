@@ -1,6 +1,6 @@
 """The registered queries: every operator over whole tables of one data folder.
 
-Scores are rounded to 6 decimals in the output, so that the last bits of a sum, which depend on the order of addition,
+Scores are rounded to 9 decimals in the output, so that the last bits of a sum, which depend on the order of addition,
 do not decide a comparison with another engine.
 """
 
@@ -62,8 +62,8 @@ def query(build: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """All DOUBLE columns at 6 decimals."""
-    return df.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    """All DOUBLE columns at 9 decimals."""
+    return df.select(*[F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 def longs(df: DataFrame, *names: str) -> DataFrame:
@@ -497,7 +497,7 @@ def _trials(v: Views) -> DataFrame:
     lines = v.table("lineitem").select("l_linenumber", "l_returnflag", "l_quantity")
     flag = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
     miss = F.col("l_quantity") - 25
-    grouped = lines.groupBy("l_linenumber", flag.alias("flag")).agg(F.round(F.sqrt(F.avg(miss * miss)), 6).alias("rmse"))
+    grouped = lines.groupBy("l_linenumber", flag.alias("flag")).agg(F.round(F.sqrt(F.avg(miss * miss)), 9).alias("rmse"))
     return grouped.select(
         (F.col("l_linenumber") * 10 + F.col("flag")).alias("trial_no"),
         (F.col("l_linenumber") * 4).alias("rank"),

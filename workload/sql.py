@@ -208,19 +208,19 @@ def hybrid(ratings: str = "ratings", candidates: str = "candidates", top_n: int
     }
 
 
-HYBRID_SHOWN = """user_id, item_id, als_score, round(content_score, 6) AS content_score,
-    round(max_genre_weight, 6) AS max_genre_weight, CAST(genre_match_count AS BIGINT) AS genre_match_count, title, genres,
-    primary_genre, release_year, rating_count, round(avg_rating, 6) AS avg_rating,
-    round(popularity_score, 6) AS popularity_score, round(popularity_norm, 6) AS popularity_norm,
-    round(als_norm, 6) AS als_norm, round(hybrid_score, 6) AS hybrid_score, round(recency_norm, 6) AS recency_norm,
-    genre_rank, round(rerank_score, 6) AS rerank_score, rank, favorite_genre,
-    round(favorite_genre_weight, 6) AS favorite_genre_weight, anchor_title, explain_because, explain_social,
+HYBRID_SHOWN = """user_id, item_id, als_score, round(content_score, 9) AS content_score,
+    round(max_genre_weight, 9) AS max_genre_weight, CAST(genre_match_count AS BIGINT) AS genre_match_count, title, genres,
+    primary_genre, release_year, rating_count, round(avg_rating, 9) AS avg_rating,
+    round(popularity_score, 9) AS popularity_score, round(popularity_norm, 9) AS popularity_norm,
+    round(als_norm, 9) AS als_norm, round(hybrid_score, 9) AS hybrid_score, round(recency_norm, 9) AS recency_norm,
+    genre_rank, round(rerank_score, 9) AS rerank_score, rank, favorite_genre,
+    round(favorite_genre_weight, 9) AS favorite_genre_weight, anchor_title, explain_because, explain_social,
     explain_genre, "explain" """
 
-PRECOMPUTED_SHOWN = HYBRID_SHOWN + ", route, round(score, 6) AS score, user_bucket"
+PRECOMPUTED_SHOWN = HYBRID_SHOWN + ", route, round(score, 9) AS score, user_bucket"
 
 FALLBACK_SHOWN = """fallback_type, genre, rank, item_id, title, genres, rating_count,
-    round(avg_rating, 6) AS avg_rating, round(popularity_score, 6) AS popularity_score"""
+    round(avg_rating, 9) AS avg_rating, round(popularity_score, 9) AS popularity_score"""
 
 # Evaluation: recommendations built from train for the users of test, judged against test.
 EVALUATION: dict[str, str] = {
@@ -238,9 +238,9 @@ EVALUATION: dict[str, str] = {
         SELECT user_id, relevant_count, (SELECT sum(1e0 / log2(i + 2e0)) FROM range(0, 10) t(i)
                                          WHERE i < relevant_count) AS idcg FROM relevant_counts""",
     "metrics": """
-        SELECT CAST(10 AS BIGINT) AS k, 4.0e0 AS relevant_threshold, round(avg(hit_count / 10e0), 6) AS precision_at_k,
-               round(avg(CAST(hit_count AS DOUBLE) / relevant_count), 6) AS recall_at_k,
-               round(avg(dcg / idcg), 6) AS ndcg_at_k, count(*) AS evaluated_users
+        SELECT CAST(10 AS BIGINT) AS k, 4.0e0 AS relevant_threshold, round(avg(hit_count / 10e0), 9) AS precision_at_k,
+               round(avg(CAST(hit_count AS DOUBLE) / relevant_count), 9) AS recall_at_k,
+               round(avg(dcg / idcg), 9) AS ndcg_at_k, count(*) AS evaluated_users
         FROM gains JOIN ideal USING (user_id)""",
 }
 
@@ -325,7 +325,7 @@ for key in ("write_gold_fallback", "read_gold_fallback"):
 oracle("write_gold_precomputed", f"SELECT {PRECOMPUTED_SHOWN} FROM recs", PRECOMPUTED)
 oracle(
     "read_gold_precomputed",
-    """SELECT user_id, item_id, CAST(rank AS INT) AS rank, round(score, 6) AS score, user_bucket FROM recs
+    """SELECT user_id, item_id, CAST(rank AS INT) AS rank, round(score, 9) AS score, user_bucket FROM recs
        WHERE user_id IN (SELECT user_id FROM requests_raw)""",
     PRECOMPUTED,
 )
@@ -382,10 +382,10 @@ oracle(
     tastes("ratings"),
 )
 
-STATS_SHOWN = "round(avg_rating, 6) AS avg_rating, round(popularity_score, 6) AS popularity_score"
+STATS_SHOWN = "round(avg_rating, 9) AS avg_rating, round(popularity_score, 9) AS popularity_score"
 oracle(
     "item_popularity",
-    f"SELECT item_id, rating_count, {STATS_SHOWN}, round(popularity_norm, 6) AS popularity_norm FROM pop",
+    f"SELECT item_id, rating_count, {STATS_SHOWN}, round(popularity_norm, 9) AS popularity_norm FROM pop",
     popular("ratings"),
 )
 oracle("item_stats_min_count", f"SELECT item_id, rating_count, {STATS_SHOWN} FROM fb_stats", fallback("ratings", 10))
@@ -399,13 +399,13 @@ oracle("fallback_by_genre", f"SELECT {FALLBACK_SHOWN} FROM fb_genre", fallback("
 oracle("fallback_all", f"SELECT {FALLBACK_SHOWN} FROM fb_all", fallback("ratings", 10))
 oracle(
     "top_trending",
-    """SELECT rank, item_id, title, genres, round(popularity_score, 6) AS popularity_score,
+    """SELECT rank, item_id, title, genres, round(popularity_score, 9) AS popularity_score,
               'Top trending by global popularity.' AS "explain" FROM fb_global WHERE rank <= 10""",
     fallback("ratings", 20),
 )
 oracle(
     "top_by_genre",
-    """SELECT w.genre, rank, item_id, title, genres, round(popularity_score, 6) AS popularity_score,
+    """SELECT w.genre, rank, item_id, title, genres, round(popularity_score, 9) AS popularity_score,
               'Popular in genre: ' || w.genre AS "explain"
        FROM (SELECT DISTINCT genre FROM requests_raw WHERE genre IS NOT NULL) w
        JOIN fb_genre f ON lower(f.genre) = lower(w.genre) WHERE rank <= 10""",
@@ -414,13 +414,13 @@ oracle(
 
 oracle(
     "user_genre_profile",
-    """SELECT user_id, genre, genre_interactions, round(genre_avg_rating, 6) AS genre_avg_rating,
-              round(genre_weight, 6) AS genre_weight, favorite_rank FROM profile""",
+    """SELECT user_id, genre, genre_interactions, round(genre_avg_rating, 9) AS genre_avg_rating,
+              round(genre_weight, 9) AS genre_weight, favorite_rank FROM profile""",
     tastes("ratings"),
 )
 oracle(
     "favorite_genre",
-    """SELECT user_id, genre AS favorite_genre, round(genre_weight, 6) AS favorite_genre_weight FROM profile
+    """SELECT user_id, genre AS favorite_genre, round(genre_weight, 9) AS favorite_genre_weight FROM profile
        WHERE favorite_rank = 1""",
     tastes("ratings"),
 )
@@ -431,20 +431,20 @@ oracle(
 )
 oracle("seen_pairs", "SELECT DISTINCT user_id, item_id FROM ratings")
 oracle("drop_seen", "SELECT user_id, item_id, als_score FROM fresh", hybrid())
-CONTENT_SHOWN = """user_id, item_id, als_score, round(content_score, 6) AS content_score"""
+CONTENT_SHOWN = """user_id, item_id, als_score, round(content_score, 9) AS content_score"""
 oracle(
     "content_score",
-    f"""SELECT {CONTENT_SHOWN}, round(max_genre_weight, 6) AS max_genre_weight,
+    f"""SELECT {CONTENT_SHOWN}, round(max_genre_weight, 9) AS max_genre_weight,
                CAST(genre_match_count AS BIGINT) AS genre_match_count FROM content""",
     tastes("ratings"),
     contents("candidates"),
 )
 
-oracle("als_norm", f"SELECT user_id, item_id, als_score, round({NORM}, 6) AS als_norm FROM candidates")
+oracle("als_norm", f"SELECT user_id, item_id, als_score, round({NORM}, 9) AS als_norm FROM candidates")
 oracle(
     "hybrid_score",
-    f"""SELECT {CONTENT_SHOWN}, round({NORM}, 6) AS als_norm,
-               round(0.7e0 * {NORM} + 0.3e0 * content_score, 6) AS hybrid_score FROM content""",
+    f"""SELECT {CONTENT_SHOWN}, round({NORM}, 9) AS als_norm,
+               round(0.7e0 * {NORM} + 0.3e0 * content_score, 9) AS hybrid_score FROM content""",
     tastes("ratings"),
     contents("candidates"),
 )
@@ -453,14 +453,14 @@ oracle(
     """SELECT item_id, title, release_year,
               round(CASE WHEN release_year IS NOT NULL AND max(release_year) OVER () > min(release_year) OVER ()
                          THEN CAST(release_year - min(release_year) OVER () AS DOUBLE)
-                              / (max(release_year) OVER () - min(release_year) OVER ()) ELSE 0e0 END, 6) AS recency_norm
+                              / (max(release_year) OVER () - min(release_year) OVER ()) ELSE 0e0 END, 9) AS recency_norm
        FROM features""",
 )
 oracle(
     "hybrid_rerank",
-    """SELECT user_id, item_id, primary_genre, release_year, round(als_norm, 6) AS als_norm,
-              round(hybrid_score, 6) AS hybrid_score, round(popularity_norm, 6) AS popularity_norm,
-              round(recency_norm, 6) AS recency_norm, genre_rank, round(rerank_score, 6) AS rerank_score, rank FROM best""",
+    """SELECT user_id, item_id, primary_genre, release_year, round(als_norm, 9) AS als_norm,
+              round(hybrid_score, 9) AS hybrid_score, round(popularity_norm, 9) AS popularity_norm,
+              round(recency_norm, 9) AS recency_norm, genre_rank, round(rerank_score, 9) AS rerank_score, rank FROM best""",
     hybrid(),
 )
 oracle("final_rank", "SELECT user_id, item_id, rank FROM best", hybrid())
@@ -482,8 +482,8 @@ oracle(
 )
 oracle("top_k_slice", "SELECT user_id, item_id, rank, pos AS position FROM judged WHERE rank <= 5", EVALUATION)
 oracle("hits_per_user", "SELECT user_id, hit_count FROM gains", EVALUATION)
-oracle("dcg_per_user", "SELECT user_id, round(dcg, 6) AS dcg FROM gains", EVALUATION)
-oracle("idcg", "SELECT user_id, relevant_count, round(idcg, 6) AS idcg FROM ideal", EVALUATION)
+oracle("dcg_per_user", "SELECT user_id, round(dcg, 9) AS dcg FROM gains", EVALUATION)
+oracle("idcg", "SELECT user_id, relevant_count, round(idcg, 9) AS idcg FROM ideal", EVALUATION)
 oracle("ranking_metrics", "SELECT * FROM metrics", EVALUATION)
 oracle("hybrid_ranking_eval", "SELECT * FROM metrics", EVALUATION)
 oracle(
@@ -493,13 +493,13 @@ oracle(
 )
 oracle(
     "rmse",
-    f"""SELECT round(sqrt(avg((rating - avg_rating) * (rating - avg_rating))), 6) AS rmse
+    f"""SELECT round(sqrt(avg((rating - avg_rating) * (rating - avg_rating))), 9) AS rmse
         FROM test JOIN ({stats('train')}) USING (item_id)""",
 )
 TRIALS = {
     "trial_rows": """
         SELECT l_linenumber * 10 + flag AS trial_no, l_linenumber * 4 AS rank, CAST(flag AS DOUBLE) / 4 AS reg_param,
-               10 AS max_iter, round(sqrt(avg((l_quantity - 25) * (l_quantity - 25))), 6) AS rmse
+               10 AS max_iter, round(sqrt(avg((l_quantity - 25) * (l_quantity - 25))), 9) AS rmse
         FROM (SELECT *, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS flag FROM lineitem)
         GROUP BY l_linenumber, flag"""
 }
@@ -513,7 +513,7 @@ oracle("append_trials", "SELECT * FROM trial_rows", TRIALS)
 oracle(
     "latest_metrics",
     """SELECT ts AS timestamp_utc, 'hybrid_rerank' AS algorithm,
-              round(avg(CASE WHEN rating >= 4.0e0 THEN 1e0 ELSE 0e0 END), 6) AS precision_at_k, count(*) AS evaluated_users
+              round(avg(CASE WHEN rating >= 4.0e0 THEN 1e0 ELSE 0e0 END), 9) AS precision_at_k, count(*) AS evaluated_users
        FROM ratings GROUP BY ts ORDER BY ts DESC LIMIT 1""",
 )
 
@@ -528,20 +528,20 @@ oracle(
     "user_has_history",
     "SELECT request_id, user_id, user_id IN (SELECT user_id FROM merged) AS has_history FROM requests_raw",
 )
-REC_SHOWN = """item_id, title, genres, round(score, 6) AS score, als_score, round(content_score, 6) AS content_score,
+REC_SHOWN = """item_id, title, genres, round(score, 9) AS score, als_score, round(content_score, 9) AS content_score,
     rank, "explain" """
 oracle("normalize_recs", f"SELECT user_id, {REC_SHOWN} FROM recs", PRECOMPUTED)
 oracle("serve_hybrid", f"SELECT request_id, pos, {REC_SHOWN} FROM hybrid_rows", SERVING)
 oracle("route_requests", "SELECT request_id, user_id, top_n, genre, has_history, route FROM routed", SERVING)
 oracle(
     "serve_fallback",
-    """SELECT request_id, pos, item_id, title, genres, round(popularity_score, 6) AS score, CAST(NULL AS DOUBLE) AS als_score,
+    """SELECT request_id, pos, item_id, title, genres, round(popularity_score, 9) AS score, CAST(NULL AS DOUBLE) AS als_score,
               CAST(NULL AS DOUBLE) AS content_score, "explain" FROM fallback_rows""",
     SERVING,
 )
 oracle(
     "serve_batch",
-    """SELECT s.request_id, s.route, s.selected_genre, x.section, x.pos, x.item_id, x.title, round(x.score, 6) AS score,
+    """SELECT s.request_id, s.route, s.selected_genre, x.section, x.pos, x.item_id, x.title, round(x.score, 9) AS score,
               x."explain"
        FROM selected s JOIN (
          SELECT request_id, 'recommendations' AS section, pos, item_id, title, score, "explain" FROM rec_rows
@@ -563,7 +563,7 @@ oracle(
 )
 oracle(
     "score_rows",
-    """SELECT request_id, pos, item_id, round(score, 6) AS score, als_score, round(content_score, 6) AS content_score
+    """SELECT request_id, pos, item_id, round(score, 9) AS score, als_score, round(content_score, 9) AS content_score
        FROM rec_rows""",
     SERVING,
 )
