@@ -10,9 +10,9 @@ MAX_RATING = 5.0
 USER_BUCKETS = 64
 EVENT_TYPES = ("click", "view", "rate", "skip")
 
-# Scores are compared at this many decimals wherever they order rows.  A distributed average may differ in its last
+# Scores are compared in steps of one billionth wherever they order rows.  A distributed average may differ in its last
 # bits from one run to the next, because partial sums merge in any order; without this, ranks could change on a rerun.
-ORDER_DECIMALS = 9
+ORDER_SCALE = 1e9
 
 
 @dataclass(frozen=True)

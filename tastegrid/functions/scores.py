@@ -8,7 +8,7 @@ from math import log2
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tastegrid.config import MAX_RATING, MIN_RATING, ORDER_DECIMALS
+from tastegrid.config import MAX_RATING, MIN_RATING, ORDER_SCALE
 
 
 def als_norm(score: str = "als_score") -> Column:
@@ -27,8 +27,8 @@ def ratio_or_zero(part: Column, whole: Column) -> Column:
 
 
 def comparable(score: str) -> Column:
-    """The score as it enters an ordering; see ``ORDER_DECIMALS``."""
-    return F.round(F.col(score), ORDER_DECIMALS)
+    """The score as it enters an ordering: a whole number of the smallest difference that counts."""
+    return F.floor(F.col(score) * F.lit(ORDER_SCALE) + F.lit(0.5))
 
 
 def discount(position: Column) -> Column:

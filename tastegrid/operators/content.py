@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.operators.catalog import item_features
+from tastegrid.operators.taste import taste_lookup
 
 CANDIDATE = ("user_id", "item_id", "als_score")
 
@@ -37,26 +38,20 @@ def score_content(candidates: DataFrame, features: DataFrame, taste: DataFrame)
     whose matches add up.
     """
     merged = candidates if "copies" in candidates.columns else merge_copies(candidates)
-    rows = merged.join(features, "item_id", "left").join(taste, "user_id", "left")
-    by_genre = F.map_from_arrays(F.col("tastes.genre"), F.col("tastes"))
-    weights = F.transform("genre_list", lambda genre: F.col("by_genre")[genre]["genre_weight"])
-    matched = F.filter("weights", lambda weight: weight.isNotNull())
-    favorite = F.get(F.col("tastes"), F.lit(0))
-    measured = rows.withColumn("by_genre", by_genre).withColumn("weights", weights).withColumn("matched", matched)
-    total = F.aggregate("matched", F.lit(0.0), lambda acc, weight: acc + weight)
-    unlisted = F.coalesce(F.size("genre_list"), F.lit(0)) <= 0
+    lookup = taste_lookup(taste)
+    rows = merged.join(features, "item_id", "left").join(lookup, "user_id", "left")
+    # Null where the user has no weight for the genre.
+    found = rows.withColumn("found", F.transform("genre_list", lambda genre: F.col("genre_weights")[genre]))
+    total = F.aggregate("found", F.lit(0.0), lambda sum_, weight: sum_ + F.coalesce(weight, F.lit(0.0)))
+    matches = F.size(F.array_compact("found"))
     scores = {
-        "content_score": F.when(unlisted, F.lit(0.0)).otherwise(
-            F.coalesce(total / F.nullif(F.size("genre_list"), F.lit(0)), F.lit(0.0))
-        ),
-        "max_genre_weight": F.coalesce(F.array_max("matched"), F.lit(0.0)),
-        "genre_match_count": F.coalesce(F.greatest(F.size("matched"), F.lit(0)), F.lit(0)) * F.col("copies"),
-        "favorite_genre": favorite["genre"],
-        "favorite_genre_weight": favorite["genre_weight"],
+        "content_score": F.coalesce(total / F.nullif(F.size("found"), F.lit(0)), F.lit(0.0)),
+        "max_genre_weight": F.coalesce(F.array_max("found"), F.lit(0.0)),
+        "genre_match_count": F.when(F.col("found").isNull(), F.lit(0)).otherwise(matches) * F.col("copies"),
     }
-    if "anchor_item_id" in taste.schema["tastes"].dataType.elementType.names:
-        scores["anchor_item_id"] = F.col("by_genre")[F.col("primary_genre")]["anchor_item_id"]
-    return measured.withColumns(scores).drop("tastes", "by_genre", "weights", "matched", "copies", "genre_list")
+    if "genre_anchors" in lookup.columns:
+        scores["anchor_item_id"] = F.col("genre_anchors")[F.col("primary_genre")]
+    return found.withColumns(scores).drop("genre_weights", "genre_anchors", "found", "copies", "genre_list")
 
 
 def content_score(candidates: DataFrame, items: DataFrame, taste: DataFrame) -> DataFrame:

@@ -28,5 +28,6 @@ def item_popularity(ratings: DataFrame) -> DataFrame:
     would send all items to one task.
     """
     stats = item_stats(ratings)
-    highest = stats.agg(F.max("popularity_score")).scalar()
-    return stats.withColumn("popularity_norm", ratio_or_zero(F.col("popularity_score"), highest))
+    known = stats.withColumn("_highest", stats.agg(F.max("popularity_score")).scalar())
+    share = ratio_or_zero(F.col("popularity_score"), F.col("_highest"))
+    return known.withColumn("popularity_norm", share).drop("_highest")

@@ -31,10 +31,12 @@ def recency_norm(rows: DataFrame, extent: DataFrame) -> DataFrame:
 
     The extent is a scalar subquery: two numbers reach the rows, no window over everything and no join.
     """
-    years = extent.scalar()
+    years = F.col("_years")
     span = years["newest"] - years["oldest"]
     placed = ratio_or_zero(F.col("release_year") - years["oldest"], span)
-    return rows.withColumn("recency_norm", F.coalesce(F.when(span > 0, placed), F.lit(0.0)))
+    # One column holds the subquery; naming it in each expression would plan it anew every time.
+    known = rows.withColumn("_years", extent.scalar())
+    return known.withColumn("recency_norm", F.coalesce(F.when(span > 0, placed), F.lit(0.0))).drop("_years")
 
 
 def deepest_useful_rank(top_n: int, config: BlendConfig) -> int | None:
@@ -58,14 +60,16 @@ def rerank(rows: DataFrame, extent: DataFrame, top_n: int, config: BlendConfig =
     than a bounded number of rows of one user.
     """
     filled = hybrid_score(rows.fillna(0.0, ["popularity_norm"]), config)
-    quality = [comparable("hybrid_score").desc(), comparable("popularity_norm").desc(), F.col("item_id").asc()]
+    # The ordering keys are columns of their own, computed once for all rankings.
+    keyed = filled.withColumns({"_quality": comparable("hybrid_score"), "_liked": comparable("popularity_norm")})
+    quality = [F.col("_quality").desc(), F.col("_liked").desc(), F.col("item_id").asc()]
     genre_key = ["user_id", "primary_genre"]
     depth = deepest_useful_rank(top_n, config)
     if depth is None:
-        placed = filled.withColumn("genre_rank", F.row_number().over(Window.partitionBy(*genre_key).orderBy(*quality)))
+        placed = keyed.withColumn("genre_rank", F.row_number().over(Window.partitionBy(*genre_key).orderBy(*quality)))
     else:
         # The rows come from a join on the user and lie together by it.
-        placed = top_k(filled, genre_key, quality, depth, "genre_rank", ["item_id", "als_score"], colocated=True)
+        placed = top_k(keyed, genre_key, quality, depth, "genre_rank", ["item_id", "als_score"], colocated=True)
     score = (
         F.col("hybrid_score")
         + config.genre_boost * F.col("max_genre_weight")
@@ -74,4 +78,5 @@ def rerank(rows: DataFrame, extent: DataFrame, top_n: int, config: BlendConfig =
         - config.diversity_penalty * (F.col("genre_rank") - 1)
     )
     final = [comparable("rerank_score").desc(), *quality]
-    return top_k(recency_norm(placed, extent).withColumn("rerank_score", score), ["user_id"], final, top_n)
+    scored = recency_norm(placed, extent).withColumn("rerank_score", score)
+    return top_k(scored, ["user_id"], final, top_n).drop("_quality", "_liked")

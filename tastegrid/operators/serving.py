@@ -248,8 +248,9 @@ def serve_batch(
     Requests (``request_id``, ``user_id``, ``top_n``, ``genre``) are shuffled once, by user, for both the history check
     and the stored lists.  The per-genre lists are as small as the genre vocabulary; the overall list is one value.
     """
-    everyone = global_list(fallback).scalar()
+    everyone = F.col("everyone")
     routed = route_requests(requests, ratings, precomputed, als_recommendations, config)
+    routed = routed.withColumn("everyone", global_list(fallback).scalar())
     asked = selected_genre(routed, everyone).withColumn("genre_key", F.lower("selected_genre"))
     joined = asked.join(genre_lists(fallback), "genre_key", "left").withColumn(
         "genre_list", _or_empty(F.col("genre_list"))

@@ -93,6 +93,23 @@ def favorite_genre(taste: DataFrame) -> DataFrame:
     )
 
 
+def taste_lookup(taste: DataFrame) -> DataFrame:
+    """The taste rows laid out for scoring: genre weights and anchors as maps, the favourite genre as columns.
+
+    Built once per user, so that a candidate row only looks up.
+    """
+    first = F.get(F.col("tastes"), F.lit(0))
+    columns = [
+        F.map_from_arrays(F.col("tastes.genre"), F.col("tastes.genre_weight")).alias("genre_weights"),
+        first["genre"].alias("favorite_genre"),
+        first["genre_weight"].alias("favorite_genre_weight"),
+    ]
+    if "anchor_item_id" in taste.schema["tastes"].dataType.elementType.names:
+        anchors = F.map_from_arrays(F.col("tastes.genre"), F.col("tastes.anchor_item_id"))
+        columns.append(anchors.alias("genre_anchors"))
+    return taste.select("user_id", *columns)
+
+
 def anchor_items(ratings: DataFrame, items: DataFrame) -> DataFrame:
     """The item that best stands for a user's taste in each genre."""
     totals = _genre_totals(ratings, items, anchors=True)

@@ -100,7 +100,7 @@ def stats(ratings: str) -> str:
 
 def fallback(ratings: str, top_n: int) -> dict[str, str]:
     """Views ``fb_global`` and ``fb_genre``."""
-    order = "round(popularity_score, 9) DESC, rating_count DESC, item_id"
+    order = "floor(popularity_score * 1e9 + 0.5e0) DESC, rating_count DESC, item_id"
     return {
         "fb_stats": f"SELECT * FROM ({stats(ratings)}) WHERE rating_count >= 20",
         "fb_global": f"""
@@ -169,7 +169,7 @@ NORM = "greatest(0e0, least(1e0, (als_score - 0.5e0) / 4.5e0))"
 
 def hybrid(ratings: str = "ratings", candidates: str = "candidates", top_n: int = 10) -> dict[str, str]:
     """View ``recs``: explained recommendations."""
-    quality = "round(hybrid_score, 9) DESC, round(popularity_norm, 9) DESC, item_id"
+    quality = "floor(hybrid_score * 1e9 + 0.5e0) DESC, floor(popularity_norm * 1e9 + 0.5e0) DESC, item_id"
     return {
         **popular(ratings),
         **tastes(ratings),
@@ -192,7 +192,7 @@ def hybrid(ratings: str = "ratings", candidates: str = "candidates", top_n: int
                       - 0.08e0 * (genre_rank - 1) AS rerank_score FROM placed""",
         "best": f"""
             SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id
-                             ORDER BY round(rerank_score, 9) DESC, {quality}) AS rank FROM scored) WHERE rank <= {top_n}""",
+                             ORDER BY floor(rerank_score * 1e9 + 0.5e0) DESC, {quality}) AS rank FROM scored) WHERE rank <= {top_n}""",
         "told": """
             SELECT b.*, fav.genre AS favorite_genre, fav.genre_weight AS favorite_genre_weight, a.anchor_title,
                    'Because you liked ' || coalesce(a.anchor_title, 'similar movies') AS explain_because,
