@@ -42,5 +42,5 @@ def ideal_dcg(relevant: Column, k: int) -> Column:
     The partial sums depend on ``k`` alone, so they enter the plan as one literal array.
     """
     sums = F.array(*[F.lit(total) for total in accumulate(1.0 / log2(place + 2) for place in range(k))])
-    reached = F.least(relevant, F.lit(k)).cast("int")
+    reached = F.least(F.coalesce(relevant, F.lit(0)), F.lit(k)).cast("int")
     return F.coalesce(F.get(sums, reached - 1), F.lit(0.0))
