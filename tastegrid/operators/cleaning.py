@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.config import USER_BUCKETS
 from tastegrid.functions import on_scale, user_bucket
+from tastegrid.operators.skew import group_for_join
 from tastegrid.schemas import ITEMS, RATINGS
 
 RATING_KEY = ("user_id", "item_id", "ts")
@@ -48,7 +49,7 @@ def clean_items(raw: DataFrame) -> DataFrame:
     """Drop incomplete items and keep one (title, genres) per item, the smallest."""
     complete = _typed(raw, ITEMS).dropna()
     return (
-        complete.groupBy("item_id")
+        group_for_join(complete, "item_id")
         .agg(F.min(F.struct("title", "genres")).alias("kept"))
         .select("item_id", "kept.title", "kept.genres")
     )

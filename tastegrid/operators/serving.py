@@ -2,7 +2,7 @@
 
 A stored recommendation list is short (the precomputed top-n of a user, the top-n of a genre), so each list is one
 array, joined once per request and cut and filtered within the row.  Requests never fan out, and the list side of every
-join holds one row per key, so a hot user or genre only makes its own requests many; adaptive execution splits those.
+join holds one row per key, so a hot user or genre only makes its own requests many; those are split (see ``skew``).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.config import ServeConfig
 from tastegrid.functions import matches_genre, primary_genre, request_key
+from tastegrid.operators.skew import distinct_for_join, group_for_join
 
 # The wording.
 GENRE_REASON = "Matches requested genre: "
@@ -89,7 +90,7 @@ def distinct_requests(requests: DataFrame) -> DataFrame:
 
 def user_has_history(requests: DataFrame, ratings: DataFrame) -> DataFrame:
     """Add ``has_history``: the user has rated something."""
-    known = ratings.select("user_id").distinct().withColumn("has_history", F.lit(True))
+    known = distinct_for_join(ratings, "user_id").withColumn("has_history", F.lit(True))
     return requests.join(known, "user_id", "left").fillna(False, ["has_history"])
 
 
@@ -99,7 +100,8 @@ def user_has_history(requests: DataFrame, ratings: DataFrame) -> DataFrame:
 def stored_lists(precomputed: DataFrame) -> DataFrame:
     """Each user's precomputed recommendations as one array in rank order."""
     rows = normalize_recs(precomputed, "user_id")
-    return rows.groupBy("user_id").agg(_collected(F.col("rank")).alias("stored"))
+    lists = group_for_join(rows, "user_id").agg(_collected(F.col("rank")).alias("stored"))
+    return lists.select("user_id", "stored")
 
 
 def serve_als_legacy(als_recommendations: DataFrame) -> DataFrame:
@@ -116,7 +118,8 @@ def serve_als_legacy(als_recommendations: DataFrame) -> DataFrame:
 def als_lists(als_recommendations: DataFrame) -> DataFrame:
     """Each user's direct model recommendations as one array, best first."""
     rows = serve_als_legacy(als_recommendations)
-    return rows.groupBy("user_id").agg(_collected(-F.col("score"), F.col("item_id")).alias("direct"))
+    lists = group_for_join(rows, "user_id").agg(_collected(-F.col("score"), F.col("item_id")).alias("direct"))
+    return lists.select("user_id", "direct")
 
 
 def global_list(fallback: DataFrame) -> DataFrame:
@@ -135,7 +138,8 @@ def genre_lists(fallback: DataFrame) -> DataFrame:
     """The top list of each genre, told apart without regard to case, as one array."""
     rows = fallback.filter(F.col("fallback_type") == "genre").withColumn("score", F.col("popularity_score"))
     named = normalize_recs(rows, F.lower("genre").alias("genre_key"))
-    return named.groupBy("genre_key").agg(_collected(F.col("rank"), F.col("item_id")).alias("genre_list"))
+    lists = group_for_join(named, "genre_key").agg(_collected(F.col("rank"), F.col("item_id")).alias("genre_list"))
+    return lists.select("genre_key", "genre_list")
 
 
 def top_trending(fallback: DataFrame, n: int) -> DataFrame:

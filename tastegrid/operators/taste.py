@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.functions import ratio_or_zero
 from tastegrid.operators.catalog import ratings_with_genres
+from tastegrid.operators.skew import group_for_join
 
 # Fixed value: a rated item adds its rating plus this much to the genre's weight.
 PER_INTERACTION = 0.25
@@ -48,7 +49,7 @@ def user_taste(ratings: DataFrame, items: DataFrame, anchors: bool = True) -> Da
     ]
     if anchors:
         fields += [(-F.col("best.item_down")).cast("int").alias("anchor_item_id"), F.col("best.rating")]
-    per_user = totals.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("ordered"))
+    per_user = group_for_join(totals, "user_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("ordered"))
     top = F.col("ordered")[0]["raw_weight"]
 
     def element(entry):

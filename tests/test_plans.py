@@ -1,9 +1,12 @@
 """What the physical plans look like, and that a hot key does not land in one task."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tastegrid.operators import catalog, content, fallback, popularity, profiles, taste
+from tastegrid.operators.serving import user_has_history
 from tastegrid.plans import hybrid
 from tests.helpers import plan, tuples
 from workload.views import Views
@@ -102,42 +105,54 @@ def hot(spark, users=50, items=400):
     return many.unionByName(one).distinct().withColumn("als_score", score)
 
 
+SPLIT = dict(
+    spark__sql__shuffle__partitions="16",
+    spark__sql__adaptive__coalescePartitions__enabled="false",
+    spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="10KB",
+    spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
+    spark__sql__adaptive__advisoryPartitionSizeInBytes="10KB",
+    spark__sql__files__maxPartitionBytes="4KB",
+    spark__sql__files__openCostInBytes="1",
+)
+
+
 def test_hot_user_is_split_and_results_stay(spark, small_dir, conf, tmp_path):
     view = Views(spark, small_dir)
-    ratings, items = view.ratings(), view.items()
-    hot(spark).write.parquet(f"{tmp_path}/hot")
+    columns = ("user_id", "item_id", "genre_rank", "rank")
+    hot(spark).repartition(8).write.parquet(f"{tmp_path}/hot")
     candidates = spark.read.parquet(f"{tmp_path}/hot")
-    plain = tuples(hybrid.rerank_candidates(candidates, ratings, items, top_n=5), "user_id", "item_id", "genre_rank", "rank")
+    plain = tuples(hybrid.rerank_candidates(candidates, view.ratings(), view.items(), top_n=5), *columns)
     no_broadcast(conf)
-    conf(
-        spark__sql__shuffle__partitions="16",
-        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="40KB",
-        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
-        spark__sql__adaptive__advisoryPartitionSizeInBytes="30KB",
-        spark__sql__adaptive__coalescePartitions__minPartitionSize="1KB",
-    )
-    split = hybrid.rerank_candidates(candidates, ratings, items, top_n=5)
-    got = tuples(split, "user_id", "item_id", "genre_rank", "rank")
-    assert got == plain
-    final = plan(split, run=True).split("== Initial Plan ==")[0]
-    assert "skew=true" in final
+    conf(**SPLIT)
+    best = hybrid.rerank_candidates(spark.read.parquet(f"{tmp_path}/hot"), view.ratings(), view.items(), top_n=5)
+    assert tuples(best, *columns) == plain
+    text = plan(best, run=True)
+    assert "SortMergeJoin(skew=true) [user_id" in text
+    # The split user goes on in slices, not in one task.
+    assert re.search(r"hashpartitioning\(user_id#\d+, primary_genre#\d+, _shard#", text)
 
 
 def test_hot_item_in_ratings_is_split(spark, small_dir, conf, tmp_path):
-    items = Views(spark, small_dir).items()
     rating = (F.pmod(F.col("id") * 7, F.lit(10)) / 2 + 0.5).cast("double").alias("rating")
     item = F.when(F.col("id") < 6000, 3).otherwise(F.pmod("id", F.lit(200))).cast("int").alias("item_id")
-    many = spark.range(15000).select(F.pmod("id", F.lit(997)).cast("int").alias("user_id"), item, rating, F.col("id").alias("ts"))
-    many.write.parquet(f"{tmp_path}/hot")
-    ratings = spark.read.parquet(f"{tmp_path}/hot")
-    plain = tuples(taste.user_genre_profile(ratings, items))
+    user = F.pmod("id", F.lit(997)).cast("int").alias("user_id")
+    spark.range(15000).select(user, item, rating, F.col("id").alias("ts")).repartition(8).write.parquet(f"{tmp_path}/hot")
+    items = Views(spark, small_dir).items()
+    plain = tuples(taste.user_genre_profile(spark.read.parquet(f"{tmp_path}/hot"), items))
     no_broadcast(conf)
-    conf(
-        spark__sql__shuffle__partitions="16",
-        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20KB",
-        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
-        spark__sql__adaptive__advisoryPartitionSizeInBytes="10KB",
-    )
-    profile = taste.user_genre_profile(ratings, items)
+    conf(**SPLIT)
+    profile = taste.user_genre_profile(spark.read.parquet(f"{tmp_path}/hot"), items)
     assert tuples(profile) == plain
-    assert "skew=true" in plan(profile, run=True).split("== Initial Plan ==")[0]
+    assert "SortMergeJoin(skew=true) [item_id" in plan(profile, run=True)
+
+
+def test_hot_user_in_requests_is_split(spark, small_dir, conf, tmp_path):
+    view = Views(spark, small_dir)
+    user = F.when(F.col("id") < 8000, 7).otherwise(F.pmod("id", F.lit(200))).cast("int").alias("user_id")
+    asked = spark.range(20000).select(F.col("id").alias("request_id"), user)
+    asked.repartition(8).write.parquet(f"{tmp_path}/hot")
+    no_broadcast(conf)
+    conf(**SPLIT)
+    known = user_has_history(spark.read.parquet(f"{tmp_path}/hot"), view.ratings())
+    assert known.filter("has_history").count() == asked.join(view.ratings().select("user_id").distinct(), "user_id").count()
+    assert "SortMergeJoin(skew=true) [user_id" in plan(known, run=True)
