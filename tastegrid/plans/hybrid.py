@@ -36,26 +36,40 @@ def _extent(fresh: DataFrame, items: DataFrame, config: BlendConfig) -> DataFram
     years = item_features(items).select("item_id", "release_year")
     if config.recency_extent == "catalog":
         return year_extent(years)
-    # Distinct items first: far fewer rows than candidates meet the catalogue.  Reading ``copies``, which is never 0,
-    # keeps this plan equal to the main one up to its shuffle, so that Spark runs that part once.
+    # Distinct items first: far fewer rows than candidates meet the catalogue.  Reading ``copies``, which is never 0, and
+    # an outer join keep this plan equal to the main one up to its shuffle, so that Spark runs that part once.
     present = fresh.filter(F.col("copies") > 0).select("item_id").distinct()
-    return year_extent(present.join(years, "item_id"))
+    return year_extent(present.join(years, "item_id", "left"))
+
+
+# What a ranking needs to know of an item, and what is looked up for the ranked rows only.
+RANKED_BY = ("item_id", "genre_list", "primary_genre", "release_year", "popularity_norm")
+DETAILS = ("item_id", "title", "genres", "rating_count", "avg_rating", "popularity_score")
 
 
 def rerank_candidates(
     candidates: DataFrame, ratings: DataFrame, items: DataFrame, config: BlendConfig = BlendConfig(), top_n: int = 10
 ) -> DataFrame:
-    """Unseen candidates scored, boosted and cut to ``top_n`` per user, without texts."""
+    """Unseen candidates scored, boosted and cut to ``top_n`` per user, without item details and texts.
+
+    The rows stay narrow while there are many of them: texts of items would only be carried through joins and sorts.
+    """
     fresh = merge_copies(drop_seen(candidates, ratings))
-    scored = score_content(fresh, item_cards(ratings, items), user_taste(ratings, items))
+    cards = item_cards(ratings, items).select(*RANKED_BY)
+    scored = score_content(fresh, cards, user_taste(ratings, items))
     return rerank(scored, _extent(fresh, items, config), top_n, config)
 
 
+def with_item_details(recommendations: DataFrame, ratings: DataFrame, items: DataFrame) -> DataFrame:
+    """Add title, genres and rating figures."""
+    return recommendations.join(item_cards(ratings, items).select(*DETAILS), "item_id", "left")
+
+
 def hybrid_from_candidates(
     candidates: DataFrame, ratings: DataFrame, items: DataFrame, config: BlendConfig = BlendConfig(), top_n: int = 10
 ) -> DataFrame:
     """Explained ``top_n`` recommendations per user."""
-    best = rerank_candidates(candidates, ratings, items, config, top_n)
+    best = with_item_details(rerank_candidates(candidates, ratings, items, config, top_n), ratings, items)
     return explain(with_anchor_title(best, items)).select(*RECOMMENDATION)
 
 

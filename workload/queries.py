@@ -406,7 +406,8 @@ def q_hybrid_from_candidates(v: Views) -> DataFrame:
 
 @query
 def q_explain(v: Views) -> DataFrame:
-    texts = explain.explain(explain.with_anchor_title(_best(v), v.items()))
+    best = hybrid_plan.with_item_details(_best(v), v.ratings(), v.items())
+    texts = explain.explain(explain.with_anchor_title(best, v.items()))
     return texts.select("user_id", "item_id", "anchor_title", "explain_because", "explain_social", "explain_genre", "explain")
 
 
