@@ -32,9 +32,12 @@ def rejected_rows(gated: DataFrame) -> DataFrame:
 
 
 def rating_to_event(feedback: DataFrame) -> DataFrame:
-    """The ``rate`` event that every accepted rating also raises."""
+    """The ``rate`` event that every accepted rating also raises, stamped in UTC."""
+    # Arithmetic without a time zone, so that the session's zone does not matter.
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    stamp = epoch + F.make_dt_interval(secs=F.col("ts").cast("decimal(18,6)"))
     return accepted_rows(rating_gate(feedback)).select(
-        F.timestamp_seconds("ts").cast("string").alias("timestamp"),
+        stamp.cast("string").alias("timestamp"),
         F.lit("rate").alias("event_type"),
         "user_id",
         "item_id",

@@ -25,7 +25,9 @@ def feedback_source(spark: SparkSession, folder: str) -> DataFrame:
 def stamped_events(events: DataFrame) -> DataFrame:
     """Events with their UTC time stamp (now, if they carry none), its day, and the gate's verdict."""
     gated = event_gate(events)
-    stamp = F.coalesce(F.col("timestamp"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
+    utc_now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    now = F.concat(F.date_format(utc_now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    stamp = F.coalesce(F.col("timestamp"), now)
     metadata = F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>"))
     return gated.withColumns({"timestamp": stamp, "metadata": metadata}).withColumn("dt", F.substring("timestamp", 1, 10))
 

@@ -82,7 +82,7 @@ class Views:
         day = F.unix_date(F.to_date("ts")).cast("long")
         return self.table("events").select(
             "event_id",
-            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+            F.replace(F.substring(F.col("ts").cast("string"), 1, 19), F.lit(" "), F.lit("T")).alias("timestamp"),
             (day * 86400).alias("day_ts"),
             renamed.alias("event_type"),
             F.col("user_id").cast("int").alias("user_id"),
@@ -172,7 +172,7 @@ class Views:
             F.col("o_custkey").alias("profile_id"),
             F.when(status == "O", "hybrid").when(status == "F", "fallback").otherwise("als_legacy").alias("route"),
             F.lit(10).alias("top_n"),
-            F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"),
+            F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("created_at"),
         )
 
     def bucketed_ratings(self) -> DataFrame:
