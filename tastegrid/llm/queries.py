@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tastegrid.llm.bpe import token_digest
 from tastegrid.llm.common import documents
 from tastegrid.llm.mixture import source_mix
 from tastegrid.llm.sharding import shuffled_shards
@@ -11,9 +12,13 @@ def op2_external_shuffle(spark, sf_dir):
     return shuffled_shards(documents(spark, sf_dir))
 
 
+def op5_bpe_automaton(spark, sf_dir):
+    return token_digest(documents(spark, sf_dir))
+
+
 def op9_source_mix(spark, sf_dir):
     return source_mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_external_shuffle, op9_source_mix)}
+QUERIES = {f.__name__: f for f in (op2_external_shuffle, op5_bpe_automaton, op9_source_mix)}
 SQL: dict[str, str] = {}
