@@ -12,7 +12,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Regex, pre_tokenizers
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from tastegrid.llm.common import slices
 
@@ -23,15 +23,19 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + _BLANK + r"\p{L}\p{N}]
 
 
 @functools.cache
-def late_letters() -> str:
-    """Letters and numbers known to the regex library alone, as a set of ranges: the vocabulary's library follows
-    another version of Unicode and is asked about each letter that Python does not know."""
+def unsure_letters() -> tuple[str, str]:
+    """Sets of code points on which Unicode versions differ: letters and numbers that the regex library knows and Python
+    does not, and those of them that the vocabulary's own library, which is asked, does not know either."""
     loose = regex.compile(r"[\p{L}\p{N}]")
-    unsure = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn" and loose.match(chr(c))]
-    keep_rest = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed")
-    late = [ord(c) for part, _ in keep_rest.pre_tokenize_str("".join(unsure)) for c in part]
-    breaks = [i for i in range(1, len(late)) if late[i] != late[i - 1] + 1]
-    spans = [(late[a], late[b - 1]) for a, b in zip([0, *breaks], [*breaks, len(late)])] if late else []
+    unsure = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn" and loose.match(chr(c))]
+    others = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed")
+    late = [ord(c) for part, _ in others.pre_tokenize_str("".join(map(chr, unsure))) for c in part]
+    return _ranges(unsure), _ranges(late)
+
+
+def _ranges(points: list[int]) -> str:
+    breaks = [i for i in range(1, len(points)) if points[i] != points[i - 1] + 1]
+    spans = [(points[a], points[b - 1]) for a, b in zip([0, *breaks], [*breaks, len(points)])] if points else []
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
 
 
@@ -108,7 +112,7 @@ class Automaton:
 class WordBpe:
     """Encoder and decoder for a vocabulary file with word ends: ids as the file's own library gives them."""
 
-    def __init__(self, file: dict, late: str = "", remembered: int = 100_000):
+    def __init__(self, file: dict, unsure: tuple[str, str] = ("", ""), remembered: int = 100_000):
         model = file["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.ids = model["vocab"]
@@ -118,7 +122,9 @@ class WordBpe:
         symbols = [c + end for c in self.letters for end in {"", self.suffix}]
         self.automaton = Automaton(symbols, (tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]))
         self.split = self.careful = regex.compile(_SPLIT)
-        self.late = regex.compile(f"[{late}]") if late else None
+        points, late = unsure
+        self.unsure = regex.compile(f"[{points}]") if points else None
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         if late:
             other = "[[^" + _BLANK + r"\p{L}\p{N}]||[" + late + "]]+"
             self.careful = regex.compile(r"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--[" + late + r"]]+|[\p{N}--[" + late + "]]|" + other)
@@ -142,11 +148,14 @@ class WordBpe:
                 out.append(self.special[part])
                 continue
             split = self.split
-            if not part.isascii():
-                split = self.careful if self.late and self.late.search(part) else split
+            if part.isascii():
+                part = part.lower()
+            elif self.unsure and self.unsure.search(part):
+                part, split = self.normalizer.normalize_str(part), self.careful
+            else:
                 # Letters are lowered one by one: a capital sigma at a word's end is no special case.
-                part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")
-            for word in split.findall(part.lower()):
+                part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3").lower()
+            for word in split.findall(part):
                 out += self.seen.get(word) or self.word(word)
         return out
 
@@ -166,10 +175,10 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     docs = docs.drop(ids, decoded)
     with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
         vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
-    late = late_letters()
+    unsure = unsure_letters()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordBpe(json.loads(vocabulary.value), late)
+        coder = WordBpe(json.loads(vocabulary.value), unsure)
         for batch in slices(batches, text):
             tokens = [coder.encode(t) if t else [] for t in batch.column(text).to_pylist()]
             columns = [*batch.columns, pa.array(tokens, pa.list_(pa.int32())), pa.array([coder.decode(t) for t in tokens], pa.string())]
