@@ -24,9 +24,9 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + _BLANK + r"\p{L}\p{N}]
 
 @functools.cache
 def unsure_letters() -> tuple[str, str]:
-    """Sets of code points on which Unicode versions differ: letters and numbers that the regex library knows and Python
+    """Sets of code points on which Unicode versions differ: letters, numbers and marks that the regex library knows and Python
     does not, and those of them that the vocabulary's own library, which is asked, does not know either."""
-    loose = regex.compile(r"[\p{L}\p{N}]")
+    loose = regex.compile(r"[\p{L}\p{N}\p{M}]")
     unsure = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn" and loose.match(chr(c))]
     others = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed")
     late = [ord(c) for part, _ in others.pre_tokenize_str("".join(map(chr, unsure))) for c in part]

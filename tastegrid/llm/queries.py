@@ -5,6 +5,7 @@ from __future__ import annotations
 from tastegrid.llm.bpe import token_digest
 from tastegrid.llm.common import documents
 from tastegrid.llm.mixture import source_mix
+from tastegrid.llm.repetition import repetition_digest
 from tastegrid.llm.sharding import shuffled_shards
 
 
@@ -20,5 +21,9 @@ def op9_source_mix(spark, sf_dir):
     return source_mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_external_shuffle, op5_bpe_automaton, op9_source_mix)}
+def op10_suffix_repetition(spark, sf_dir):
+    return repetition_digest(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_external_shuffle, op5_bpe_automaton, op9_source_mix, op10_suffix_repetition)}
 SQL: dict[str, str] = {}
