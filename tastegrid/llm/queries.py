@@ -7,6 +7,7 @@ from tastegrid.llm.common import documents
 from tastegrid.llm.mixture import source_mix
 from tastegrid.llm.repetition import repetition_digest
 from tastegrid.llm.sharding import shuffled_shards
+from tastegrid.llm.toxicity import toxicity_digest
 
 
 def op2_external_shuffle(spark, sf_dir):
@@ -17,6 +18,10 @@ def op5_bpe_automaton(spark, sf_dir):
     return token_digest(documents(spark, sf_dir))
 
 
+def op8_toxicity_automaton(spark, sf_dir):
+    return toxicity_digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_source_mix(spark, sf_dir):
     return source_mix(documents(spark, sf_dir))
 
@@ -25,5 +30,5 @@ def op10_suffix_repetition(spark, sf_dir):
     return repetition_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_external_shuffle, op5_bpe_automaton, op9_source_mix, op10_suffix_repetition)}
+QUERIES = {f.__name__: f for f in (op2_external_shuffle, op5_bpe_automaton, op8_toxicity_automaton, op9_source_mix, op10_suffix_repetition)}
 SQL: dict[str, str] = {}
