@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -24,7 +25,7 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + _BLANK + r"\p{L}\p{N}]
 
 @functools.cache
 def unsure_letters() -> tuple[str, str]:
-    """Sets of code points on which Unicode versions differ: letters, numbers and marks that the regex library knows and Python
+    """Sets of code points on which Unicode versions differ: letters, numbers, marks that the regex library knows and Python
     does not, and those of them that the vocabulary's own library, which is asked, does not know either."""
     loose = regex.compile(r"[\p{L}\p{N}\p{M}]")
     unsure = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn" and loose.match(chr(c))]
@@ -70,12 +71,16 @@ class Automaton:
                 self.left[token] = ((token, NEVER), (u, time), *self.left[u][1:])
             self.rank.setdefault((u, v), time)
         self.longest = max(map(len, self.right), default=0)
-        self.arcs: dict[tuple[str, str], bool] = {}
+        self.arcs: dict[str, dict[str, bool]] = {}
+        self.paths: dict[str, list[str]] = {}
 
     def arc(self, q: str, x: str) -> bool:
-        known = self.arcs.get((q, x))
+        row = self.arcs.get(q)
+        if row is None:
+            row = self.arcs[q] = {}
+        known = row.get(x)
         if known is None:
-            known = self.arcs[q, x] = self._arc(q, x)
+            known = row[x] = self._arc(q, x)
         return known
 
     def _arc(self, q: str, x: str) -> bool:
@@ -89,30 +94,49 @@ class Automaton:
         return True
 
     def path(self, word: str, suffix: str = "") -> list[str]:
-        """Tokens of ``word``, a string of symbols of which the last carries ``suffix``; a word's tokens in order."""
-        n, known = len(word), self.right
-        if word + suffix in known:
-            return [word + suffix]
-        # Exactly one token leads to each place of the word, since every prefix has one tokenization.
-        state: list[str] = [""] * (n + 1)
-        back = [0] * (n + 1)
+        """Tokens of ``word``, a string of symbols of which the last carries ``suffix``; a word's tokens in order.
+
+        Every beginning of a word has one path, so exactly one arc leads to the word's end: the longest token is tried
+        first. Paths of beginnings are shared by words and kept. The walk back is as deep as the word has tokens; of a
+        very long word, the beginnings are entered from the front, and only their last arcs are kept.
+        """
+        if len(word) > 200:
+            return self._long_path(word, suffix)
+        for j in range(max(0, len(word) + len(suffix) - self.longest), len(word)):
+            token = word[j:] + suffix
+            if token in self.right:
+                if not j:
+                    return [token]
+                before = self.paths.get(word[:j])
+                if before is None:
+                    if len(self.paths) >= 200_000:
+                        self.paths.clear()
+                    before = self.paths[word[:j]] = self.path(word[:j])
+                if self.arc(before[-1], token):
+                    return [*before, token]
+        raise ValueError(f"no token for a symbol of {word!r}")
+
+    def _long_path(self, word: str, suffix: str) -> list[str]:
+        n = len(word)
+        last, back = [""] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
+            end = suffix if i == n else ""
             for j in range(max(0, i - self.longest), i):
-                token = word[j:i] + suffix if i == n else word[j:i]
-                if token in known and (not j or self.arc(state[j], token)):
-                    state[i], back[i] = token, j
+                token = word[j:i] + end
+                if token in self.right and (not j or self.arc(last[j], token)):
+                    last[i], back[i] = token, j
                     break
-        out, i = [], n
+        path, i = [], n
         while i:
-            out.append(state[i])
+            path.append(last[i])
             i = back[i]
-        return out[::-1]
+        return path[::-1]
 
 
 class WordBpe:
     """Encoder and decoder for a vocabulary file with word ends: ids as the file's own library gives them."""
 
-    def __init__(self, file: dict, unsure: tuple[str, str] = ("", ""), remembered: int = 100_000):
+    def __init__(self, file: dict, unsure: tuple[str, str] = ("", ""), remembered: int = 200_000):
         model = file["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.ids = model["vocab"]
@@ -124,6 +148,8 @@ class WordBpe:
         self.split = self.careful = regex.compile(_SPLIT)
         points, late = unsure
         self.unsure = regex.compile(f"[{points}]") if points else None
+        # Latin, Greek and Cyrillic texts need no look at the large set.
+        self.beyond = re.compile("[^\0-\u052f]")
         self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         if late:
             other = "[[^" + _BLANK + r"\p{L}\p{N}]||[" + late + "]]+"
@@ -150,7 +176,7 @@ class WordBpe:
             split = self.split
             if part.isascii():
                 part = part.lower()
-            elif self.unsure and self.unsure.search(part):
+            elif self.unsure and self.beyond.search(part) and self.unsure.search(part):
                 part, split = self.normalizer.normalize_str(part), self.careful
             else:
                 # Letters are lowered one by one: a capital sigma at a word's end is no special case.
