@@ -100,14 +100,14 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 1 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most_bytes`` of text, or a single text: bounds the working memory."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(size) // most_bytes
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+        part, block = np.cumsum(size) // most_bytes, np.arange(batch.num_rows) // most_rows
+        cuts = [0, *(np.flatnonzero(np.diff(part) | np.diff(block)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
 
@@ -161,6 +161,20 @@ def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, prior: np.ndarray, spread: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Logistic regression with a normal prior on each weight, by Newton steps; ``n`` counts the rows of ``x``."""
+    w = prior.copy()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (n * (p - y)) + (w - prior) / spread**2
+        curve = (x.T * (n * p * (1 - p))) @ x + np.diag(1 / spread**2)
+        step = np.linalg.solve(curve, slope)
+        w = w - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of links ``(a, b)``: one row ``(node, component)`` per linked node, the smallest node.
 

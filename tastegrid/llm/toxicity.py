@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tastegrid.llm.common import keep, slices
+from tastegrid.llm.common import keep, logistic, slices
 
 
 @dataclass(frozen=True)
@@ -339,20 +339,6 @@ def _cover(covers: list[list[tuple[str, int]]], ratios: dict[str, float], config
     return chosen
 
 
-def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, prior: np.ndarray, spread: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Logistic regression with a normal prior on each weight, by Newton steps."""
-    w = prior.copy()
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (n * (p - y)) + (w - prior) / spread**2
-        curve = (x.T * (n * p * (1 - p))) @ x + np.diag(1 / spread**2)
-        step = np.linalg.solve(curve, slope)
-        w = w - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
 def score(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig = ToxicityConfig(), text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``score`` (0 to 1) and ``predicted``.
 
