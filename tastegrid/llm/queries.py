@@ -5,6 +5,7 @@ from __future__ import annotations
 from tastegrid.llm.bpe import token_digest
 from tastegrid.llm.common import documents
 from tastegrid.llm.language import language_digest
+from tastegrid.llm.lattice import score
 from tastegrid.llm.mixture import source_mix
 from tastegrid.llm.repetition import repetition_digest
 from tastegrid.llm.sharding import shuffled_shards
@@ -19,6 +20,10 @@ def op5_bpe_automaton(spark, sf_dir):
     return token_digest(documents(spark, sf_dir))
 
 
+def op6_lattice_likelihood(spark, sf_dir):
+    return score(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_language_hierarchy(spark, sf_dir):
     return language_digest(documents(spark, sf_dir))
 
@@ -35,5 +40,5 @@ def op10_suffix_repetition(spark, sf_dir):
     return repetition_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_external_shuffle, op5_bpe_automaton, op7_language_hierarchy, op8_toxicity_automaton, op9_source_mix, op10_suffix_repetition)}
+QUERIES = {f.__name__: f for f in (op2_external_shuffle, op5_bpe_automaton, op6_lattice_likelihood, op7_language_hierarchy, op8_toxicity_automaton, op9_source_mix, op10_suffix_repetition)}
 SQL: dict[str, str] = {}
