@@ -7,6 +7,7 @@ from tastegrid.llm.common import documents
 from tastegrid.llm.language import language_digest
 from tastegrid.llm.lattice import score
 from tastegrid.llm.mixture import source_mix
+from tastegrid.llm.pii import pii_digest
 from tastegrid.llm.repetition import repetition_digest
 from tastegrid.llm.sharding import shuffled_shards
 from tastegrid.llm.toxicity import toxicity_digest
@@ -16,6 +17,10 @@ def op2_external_shuffle(spark, sf_dir):
     return shuffled_shards(documents(spark, sf_dir))
 
 
+def op4_pii_bootstrap(spark, sf_dir):
+    return pii_digest(documents(spark, sf_dir))
+
+
 def op5_bpe_automaton(spark, sf_dir):
     return token_digest(documents(spark, sf_dir))
 
@@ -40,5 +45,5 @@ def op10_suffix_repetition(spark, sf_dir):
     return repetition_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_external_shuffle, op5_bpe_automaton, op6_lattice_likelihood, op7_language_hierarchy, op8_toxicity_automaton, op9_source_mix, op10_suffix_repetition)}
+QUERIES = {f.__name__: f for f in (op2_external_shuffle, op4_pii_bootstrap, op5_bpe_automaton, op6_lattice_likelihood, op7_language_hierarchy, op8_toxicity_automaton, op9_source_mix, op10_suffix_repetition)}
 SQL: dict[str, str] = {}
