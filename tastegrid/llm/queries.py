@@ -6,6 +6,7 @@ from tastegrid.llm.bpe import token_digest
 from tastegrid.llm.common import documents
 from tastegrid.llm.language import language_digest
 from tastegrid.llm.lattice import score
+from tastegrid.llm.minhash import near_duplicate_digest
 from tastegrid.llm.mixture import source_mix
 from tastegrid.llm.pii import pii_digest
 from tastegrid.llm.repetition import repetition_digest
@@ -13,6 +14,10 @@ from tastegrid.llm.sharding import shuffled_shards
 from tastegrid.llm.toxicity import toxicity_digest
 
 
+def op1_minhash_near_duplicates(spark, sf_dir):
+    return near_duplicate_digest(documents(spark, sf_dir))
+
+
 def op2_external_shuffle(spark, sf_dir):
     return shuffled_shards(documents(spark, sf_dir))
 
@@ -45,5 +50,5 @@ def op10_suffix_repetition(spark, sf_dir):
     return repetition_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_external_shuffle, op4_pii_bootstrap, op5_bpe_automaton, op6_lattice_likelihood, op7_language_hierarchy, op8_toxicity_automaton, op9_source_mix, op10_suffix_repetition)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_duplicates, op2_external_shuffle, op4_pii_bootstrap, op5_bpe_automaton, op6_lattice_likelihood, op7_language_hierarchy, op8_toxicity_automaton, op9_source_mix, op10_suffix_repetition)}
 SQL: dict[str, str] = {}
