@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tastegrid.llm.bpe import token_digest
 from tastegrid.llm.common import documents
+from tastegrid.llm.embedding import range_join
 from tastegrid.llm.language import language_digest
 from tastegrid.llm.lattice import score
 from tastegrid.llm.minhash import near_duplicate_digest
@@ -22,6 +23,10 @@ def op2_external_shuffle(spark, sf_dir):
     return shuffled_shards(documents(spark, sf_dir))
 
 
+def op3_metric_range_join(spark, sf_dir):
+    return range_join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_pii_bootstrap(spark, sf_dir):
     return pii_digest(documents(spark, sf_dir))
 
@@ -50,5 +55,5 @@ def op10_suffix_repetition(spark, sf_dir):
     return repetition_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_duplicates, op2_external_shuffle, op4_pii_bootstrap, op5_bpe_automaton, op6_lattice_likelihood, op7_language_hierarchy, op8_toxicity_automaton, op9_source_mix, op10_suffix_repetition)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_duplicates, op2_external_shuffle, op3_metric_range_join, op4_pii_bootstrap, op5_bpe_automaton, op6_lattice_likelihood, op7_language_hierarchy, op8_toxicity_automaton, op9_source_mix, op10_suffix_repetition)}
 SQL: dict[str, str] = {}
