@@ -105,7 +105,7 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig(), text: str = "text", so
     added = ("size", "source_size", "target", "taken", "mix_offset", "mix_words", "mix_blocks", "mix_quota")
     docs = docs.drop(*added)
     used = [*docs.columns, *added]
-    shard, rank, order = (fresh(used, c) for c in ("mix_shard", "mix_rank", "mix_order"))
+    shard, rank, order, name = (fresh(used, c) for c in ("mix_shard", "mix_rank", "mix_order", "mix_source"))
     spark = docs.sparkSession
     sized = docs.withColumn("size", word_count(text))
     found = sized.groupBy(F.col(source).alias("s")).agg(F.sum("size").alias("n")).limit(config.most_sources + 1).collect()
@@ -116,10 +116,10 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig(), text: str = "text", so
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     shards = max(1, -(-sum(sizes.values()) // config.shard_words))
     facts = spark.createDataFrame(
-        [(s, i, sizes[s], target[s]) for i, s in enumerate(names)], f"s string, {rank} int, source_size long, target double"
+        [(s, i, sizes[s], target[s]) for i, s in enumerate(names)], f"{name} string, {rank} int, source_size long, target double"
     )
     # One row per source: most_sources bounds it.
-    placed = sized.join(F.broadcast(facts), F.col(source).eqNullSafe(F.col("s"))).drop("s")
+    placed = sized.join(F.broadcast(facts), F.col(source).eqNullSafe(F.col(name))).drop(name)
     placed = placed.withColumn(order, F.xxhash64(F.lit(config.seed), F.col(id_), F.col(text)))
     # Rows without words take nothing and are spread by their place; that place decides nothing else.
     placed = placed.withColumn(shard, F.when(F.col("size") > 0, F.pmod(F.col(order), F.lit(shards))).otherwise(-1 - F.monotonically_increasing_id() % 1024))
