@@ -170,24 +170,60 @@ def _forest(packed: np.ndarray, sizes: np.ndarray, signer: Signer, most: int) ->
     return links
 
 
+def _dealt(members: DataFrame, task: str, weight: str, limit: int) -> DataFrame:
+    """``members`` with ``large`` and ``part``: a task whose weights add up to more than ``limit`` is dealt over parts by a
+    hash. Sixteen of its members go to every part, so that what is linked with one of them is connected across parts."""
+    total = members.groupBy(task).agg(F.sum(weight).alias("total"))
+    rows = members.join(total, task).withColumn("parts", F.ceil(F.col("total") / limit).cast("int"))
+    draw = F.pmod(F.xxhash64("node"), F.lit(16))
+    shared = rows.filter("parts > 1").groupBy(task, draw.alias("draw")).agg(F.min("node").alias("node"))
+    rows = rows.join(shared.select(task, "node", F.lit(True).alias("everywhere")), [task, "node"], "left")
+    own = F.pmod(F.xxhash64("node", task), "parts").cast("int")
+    part = F.when(F.col("everywhere"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
+    return rows.withColumn("part", F.explode(part)).withColumn("large", F.col("parts") > 1).drop("total", "parts", "everywhere")
+
+
+def _unsettled(members: DataFrame, links: DataFrame, task: str, weight: str, limit: int, name: str) -> DataFrame:
+    """The members of large tasks whose parts have not come together, in blocks: every pair of which one is outside the
+    task's main component meets in one."""
+    so_far = components(links, name)
+    rows = members.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sums = rows.groupBy(task, "component").agg(F.sum(weight).alias("w"))
+    main = sums.groupBy(task).agg(F.count("*").alias("c"), F.max_by("component", F.struct("w", "component")).alias("main"), F.sum("w").alias("total"), F.max("w").alias("most"))
+    rows = rows.join(main.filter("c > 1"), task)
+    p, q = (F.greatest(F.lit(1), F.ceil(w * 2 / limit)).cast("int") for w in (F.col("total"), F.col("total") - F.col("most")))
+    rows = rows.withColumns({"p": p, "q": q})
+    i, j = F.pmod(F.xxhash64("node", F.lit(1)), "q").cast("int"), F.pmod(F.xxhash64("node", F.lit(2)), "p").cast("int")
+    as_any = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda k: k * F.col("p") + j)
+    as_rest = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda k: i * F.col("p") + k)
+    blocks = F.when(F.col("component") == F.col("main"), as_any).otherwise(F.array_union(as_any, as_rest))
+    return rows.withColumn("part", F.explode(blocks))
+
+
 def candidate_links(classes: DataFrame, config: MinHashConfig) -> DataFrame:
     """Pairs ``(a, b)`` of nodes that connect all members of a bucket whose estimates are near enough."""
-    bands = classes.select(F.explode("bands").alias("key"), "node")
+    bands = classes.select(F.explode("bands").alias("task"), "node")
     # Buckets of one member are most of all and end here, as pairs of numbers.
-    shared = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("first")).filter("m > 1")
-    members = bands.join(shared, "key")
-    # A large bucket is dealt over several tasks by a hash; its first member goes to each and connects them.
-    parts = F.ceil(F.col("m") / config.bucket_rows).cast("int")
-    own = F.pmod(F.xxhash64("node", "key"), parts).cast("int")
-    part = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))
-    members = members.select("key", "node", F.explode(part).alias("part"))
-    members = members.join(classes.select("node", "n", "packed"), "node")
-
+    shared = bands.groupBy("task").agg(F.count("*").alias("m")).filter("m > 1").select("task", "m")
+    members = keep(bands.join(shared, "task"), "minhash-members")
+    facts = classes.select("node", "n", "packed")
+    one = F.lit(1).alias("one")
+    small = members.filter(F.col("m") <= config.bucket_rows).select("task", "node", F.lit(0).alias("part"))
+    crowd = members.filter(F.col("m") > config.bucket_rows).select("task", "node", one)
+    dealt = _dealt(crowd, "task", "one", config.bucket_rows).select("task", "node", "part")
+    links = keep(_forests(small.union(dealt).join(facts, "node"), config), "minhash-candidates")
+    if crowd.isEmpty():
+        return links
+    again = _unsettled(crowd, links, "task", "one", config.bucket_rows, "minhash-crowd")
+    return links.union(_forests(again.select("task", "node", "part").join(facts, "node"), config))
+
+
+def _forests(members: DataFrame, config: MinHashConfig) -> DataFrame:
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(config)
         most = signer.most_differing()
         found: set[tuple[int, int]] = set()
-        for bucket in groups(batches, ["key", "part"]):
+        for bucket in groups(batches, ["task", "part"]):
             if bucket.num_rows < 2:
                 continue
             node = bucket.column("node").to_numpy()
@@ -201,7 +237,7 @@ def candidate_links(classes: DataFrame, config: MinHashConfig) -> DataFrame:
                 found = set()
         yield _pairs(found)
 
-    dealt = members.repartition("key", "part").sortWithinPartitions("key", "part")
+    dealt = members.repartition("task", "part").sortWithinPartitions("task", "part")
     return dealt.mapInArrow(forest, "a long, b long").distinct()
 
 
@@ -239,27 +275,35 @@ def _confirmed(table: pa.Table, config: MinHashConfig, signer: Signer, most: int
 
 
 def confirm(members: DataFrame, config: MinHashConfig) -> DataFrame:
-    """True links ``(a, b)`` that connect each group of ``members (task, node, set, packed, text)`` as all true links do."""
+    """True links ``(a, b, large)`` that connect each part of ``members`` as all true links within it do."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(config)
         most = signer.most_differing()
         for group in groups(batches, ["task", "part"]):
             if group.num_rows > 1:
-                yield _pairs(set(_confirmed(group, config, signer, most)))
+                pairs = _pairs(set(_confirmed(group, config, signer, most)))
+                large = pa.array(np.full(pairs.num_rows, group.column("large")[0].as_py()), pa.bool_())
+                yield pa.RecordBatch.from_arrays([*pairs.columns, large], names=["a", "b", "large"])
 
-    dealt = members.repartition("task", "part").sortWithinPartitions("task", "part")
-    return dealt.mapInArrow(decide, "a long, b long")
+    chosen = members.select("task", "part", "node", "set", "packed", "text", "large")
+    dealt = chosen.repartition("task", "part").sortWithinPartitions("task", "part")
+    return dealt.mapInArrow(decide, "a long, b long, large boolean")
+
+
+def _heavy(group: DataFrame, config: MinHashConfig) -> DataFrame:
+    return group.groupBy("task").agg(F.sum("n").alias("w")).filter(F.col("w") > config.group_shingles).select("task")
 
 
 def duplicate_facts(docs: DataFrame, config: MinHashConfig = MinHashConfig(), text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """``id, h, n_shingles, component_id, kept`` for every row of ``docs``, ``h`` being the hash of the text.
+    """``id, h, n_shingles, component, component_id, kept`` for every row of ``docs``: ``h`` is the hash of the text,
+    ``component`` numbers the components of documents with words (the number has no meaning beyond this result).
 
     Documents with the same shingle set are one class, and only classes go on. Minima of ``bands * rows`` hash functions
     make band keys; within a bucket, packed low bits estimate similarity, and a spanning forest of the near enough members
     is all that leaves it. Its components bring the texts of possible near copies together, where the full sets decide.
-    Groups too large for one task are dealt over several that share one member; the members that stayed apart meet once
-    more, in blocks that see every pair of them. Large buckets are dealt in the same way, by another hash in each band.
+    Buckets and groups too large for one task are dealt over several that share some members. Members that this does not
+    bring together with most of their group then meet all others of it, block by block, so no link is lost.
 
     ``component_id`` is the smallest id in the component, ``kept`` whether the row has it. Null and wordless texts have
     empty sets and are linked with nothing. A null id has no part in the smallest id; a component of null ids only has
@@ -276,31 +320,24 @@ def duplicate_facts(docs: DataFrame, config: MinHashConfig = MinHashConfig(), te
     classes = keep(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
     weak = components(candidate_links(classes, config), "minhash-weak")
     group = classes.drop("bands").join(weak.withColumnRenamed("component", "task"), "node")
-    weight = group.groupBy("task").agg(F.sum("n").alias("weight"))
-    parts = F.ceil(F.col("weight") / config.group_shingles).cast("int")
-    group = group.join(weight, "task").withColumn("parts", parts)
-    texts = rows.join(group.select(F.col("rep.id").alias("rid"), F.col("rep.h").alias("rh"), "node", "set", "packed", "n", "task", "parts"), F.col("h").eqNullSafe(F.col("rh")) & F.col("id").eqNullSafe(F.col("rid")))
-    group = keep(texts.select("task", "parts", "node", "set", "packed", "n", "text"), "minhash-group")
-    spread = F.when(F.col("node") == F.col("task"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
-    links = keep(confirm(group.withColumn("part", F.explode(spread)), config), "minhash-links")
-    large = group.filter("parts > 1")
+    wanted = group.select(F.col("rep.id").alias("rid"), F.col("rep.h").alias("rh"), "node", "set", "packed", "n", "task")
+    texts = rows.join(wanted, F.col("h").eqNullSafe(F.col("rh")) & F.col("id").eqNullSafe(F.col("rid")))
+    group = keep(texts.select("task", "node", "set", "packed", "n", "text"), "minhash-group")
+    dealt = _dealt(group, "task", "n", config.group_shingles)
+    links = keep(confirm(dealt, config).select("a", "b", "large"), "minhash-links")
+    large = links.filter("large")
+    links = links.select("a", "b")
     if not large.isEmpty():
-        # The components found so far of large groups, by one member each, in blocks of two parts that see every pair.
-        so_far = components(links, "minhash-first")
-        roots = large.join(so_far, "node", "left").filter("component IS NULL OR component = node").drop("component")
-        again = roots.groupBy("task").agg(F.sum("n").alias("weight"))
-        half = F.greatest(F.lit(1), F.ceil(F.col("weight") * 2 / config.group_shingles)).cast("int")
-        roots = roots.join(again, "task").withColumn("halves", half).withColumn("own", F.pmod(F.xxhash64("node"), "halves").cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("halves") - 1))
-        roots = roots.withColumn("other", other).withColumn("part", F.least("own", "other") * F.col("halves") + F.greatest("own", "other"))
-        links = keep(links.union(confirm(roots, config)), "minhash-all-links")
+        crowd = group.join(_heavy(group, config), "task", "left_semi")
+        again = _unsettled(crowd, links, "task", "n", config.group_shingles, "minhash-first")
+        links = links.union(keep(confirm(again.withColumn("large", F.lit(True)), config), "minhash-more-links").select("a", "b"))
     final = components(links, "minhash-final")
     labelled = classes.select("node", "set", "low").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
-    names = labelled.join(lowest, "component").select("set", "component_id")
-    facts = signed.select("id", "h", "set", "n").join(names, "set", "left")
+    names = labelled.join(lowest, "component").select("set", "component", "component_id")
+    facts = signed.select("id", "h", F.when(F.col("n") > 0, F.col("set")).alias("set"), "n").join(names, "set", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
-    facts = facts.select("id", "h", F.col("n").alias("n_shingles"), component)
+    facts = facts.select("id", "h", F.col("n").alias("n_shingles"), "component", component)
     return facts.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
@@ -310,7 +347,7 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig(), te
     Columns of the input with these names are replaced.
     """
     docs = docs.drop("n_shingles", "component_id", "kept")
-    facts = duplicate_facts(docs, config, text, id_).distinct()
+    facts = duplicate_facts(docs, config, text, id_).drop("component").distinct()
     return _beside(docs, facts, text, id_, "left").select(*docs.columns, "n_shingles", "component_id", "kept")
 
 
@@ -319,15 +356,11 @@ def deduplicate(docs: DataFrame, config: MinHashConfig = MinHashConfig(), text:
 
     Rows equal in id and text are copies as well, and one of them stays. Rows without words are copies of none; all stay.
     """
-    facts = duplicate_facts(docs, config, text, id_).withColumn("wordless", F.col("n_shingles") == 0)
-    with_words = facts.filter(~F.col("wordless")).groupBy("component_id")
-    # Components whose ids are all null are told apart by their rows: they have no other name.
-    best = with_words.agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("h"))).alias("b")).filter("component_id IS NOT NULL")
+    facts = duplicate_facts(docs, config, text, id_)
+    best = facts.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("h"))).alias("b"))
     winners = best.select(F.col("b.id").alias("id"), F.col("b.h").alias("h"), F.lit(False).alias("wordless"))
-    nameless = facts.filter("component_id IS NULL AND NOT wordless").select("id", "h", "wordless").distinct()
-    empty = facts.filter("wordless").select("id", "h", "wordless").distinct()
-    chosen = _beside(docs, winners.union(nameless).union(empty), text, id_, "inner")
-    key, hash_ = chosen.columns[len(docs.columns) : len(docs.columns) + 2]
+    empty = facts.filter("component IS NULL").select("id", "h", F.lit(True).alias("wordless")).distinct()
+    chosen = _beside(docs, winners.union(empty), text, id_, "inner")
     names = [fresh(["k", "h", "one"], f"c{i}") for i in range(len(docs.columns))]
     flat = chosen.toDF(*names, "k", "h", "wordless")
     single = flat.filter(~F.col("wordless")).groupBy("k", "h").agg(F.first(F.struct(*names)).alias("one")).select("one.*")
