@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +44,7 @@ class Pieces:
         keys = _keys(self.names)
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
+        self.place = {name: k for k, name in enumerate(self.names)}
 
 
 _SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -153,6 +155,60 @@ class Lattice:
         return used[:-1]
 
 
+#: From so many bytes on a word is walked alone, step by step, in memory of its own length.
+LONG = 256
+
+
+def _arcs_into(word: bytes, i: int, pieces: Pieces) -> list[tuple[int, int]]:
+    """Starts and pieces of the stretches of ``word`` that end at ``i``."""
+    found = ((j, pieces.place.get(word[j:i])) for j in range(max(0, i - pieces.longest), i))
+    return [(j, k) for j, k in found if k is not None]
+
+
+def _long_forward(word: bytes, pieces: Pieces) -> list[float]:
+    total = [0.0]
+    for i in range(1, len(word) + 1):
+        ways = [total[j] + pieces.logs[k] for j, k in _arcs_into(word, i, pieces)]
+        high = max(ways)
+        total.append(high + math.log(sum(math.exp(w - high) for w in ways)))
+    return total
+
+
+def _long_expected(word: bytes, pieces: Pieces) -> np.ndarray:
+    total, used = _long_forward(word, pieces), np.zeros(len(pieces.names))
+    # The share of all segmentations' probability that passes each place, from the end backwards.
+    share = [0.0] * len(word) + [1.0]
+    for i in range(len(word), 0, -1):
+        for j, k in _arcs_into(word, i, pieces) if share[i] else ():
+            p = share[i] * math.exp(total[j] + pieces.logs[k] - total[i])
+            used[k] += p
+            share[j] += p
+    return used
+
+
+def word_logs(words: list[bytes], pieces: Pieces) -> np.ndarray:
+    """Log probability of each word, over all its segmentations."""
+    out = np.empty(len(words))
+    for some in _in_lengths(words):
+        if len(words[some[0]]) >= LONG:
+            out[some] = [_long_forward(b" " + words[k], pieces)[-1] for k in some]
+        else:
+            out[some] = Lattice([words[k] for k in some], pieces).forward()[1]
+    return out
+
+
+def expected_uses(words: list[bytes], counts: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """Expected uses of each piece in ``counts`` times each word."""
+    used = np.zeros(len(pieces.names))
+    for some in _in_lengths(words):
+        if len(words[some[0]]) >= LONG:
+            for k in some:
+                used += counts[k] * _long_expected(b" " + words[k], pieces)
+        else:
+            used += Lattice([words[k] for k in some], pieces).expected(counts[some])
+    return used
+
+
 def _in_lengths(words: list[bytes], most: int = 20_000, cells: int = 400_000) -> Iterator[np.ndarray]:
     """Places of words of like length, few enough to bound the lattice's memory."""
     size = np.array([len(w) for w in words], dtype=np.int64)
@@ -162,6 +218,7 @@ def _in_lengths(words: list[bytes], most: int = 20_000, cells: int = 400_000) ->
         b = a + max(1, min(most, int(cells // (size[order[a]] + 1))))
         while b - a > 1 and (b - a) * (size[order[min(b, len(order)) - 1]] + 1) > 2 * cells:
             b = a + (b - a) // 2
+        b = min(b, max(a + 1, int(np.searchsorted(size[order], LONG)))) if size[order[a]] < LONG else b
         yield order[a:b]
         a = b
 
@@ -237,8 +294,7 @@ def learn(words: DataFrame, end_tokens: int, pieces: Pieces, config: LatticeConf
             used = np.zeros(len(now.names))
             for batch in batches:
                 names, counts = batch.column("word").to_pylist(), batch.column("c").to_numpy(zero_copy_only=False).astype(float)
-                for some in _in_lengths(names):
-                    used += Lattice([names[k] for k in some], now).expected(counts[some])
+                used += expected_uses(names, counts, now)
             some = np.flatnonzero(used)
             yield pa.RecordBatch.from_pydict({"piece": pa.array(some, pa.int32()), "n": used[some]})
 
@@ -277,9 +333,7 @@ def score(docs: DataFrame, config: LatticeConfig = LatticeConfig(), path: str |
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, logs = batch.column("word").to_pylist(), np.empty(batch.num_rows)
-            for some in _in_lengths(names):
-                logs[some] = Lattice([names[k] for k in some], pieces).forward()[1]
+            logs = word_logs(batch.column("word").to_pylist(), pieces)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(logs / np.log(10))], names=["word", "c", "logp"])
 
     scored = counts.mapInArrow(measure, "word binary, c long, logp double")

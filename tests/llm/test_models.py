@@ -36,6 +36,9 @@ def test_forward_recursion_sums_all_segmentations(pieces):
     words = [b"hello", b"a", b"unthinkable", "été".encode(), b"x" * 90, b"\xff\x00", b"ingthe"]
     got = lattice.Lattice(words, pieces).forward()[1]
     assert np.allclose(got, [brute_log(w, logs, pieces.longest) for w in words])
+    long = [b"abcdefghij" * 40, b"hello"]
+    assert np.allclose(lattice.word_logs(long, pieces), [brute_log(w, logs, pieces.longest) for w in long])
+    assert np.allclose(lattice.expected_uses(long, np.ones(2), pieces), lattice.Lattice(long, pieces).expected(np.ones(2)))
     assert abs(np.exp(pieces.logs).sum() + math.exp(pieces.end) - 1) < 1e-9
 
 
