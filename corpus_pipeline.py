@@ -7,13 +7,14 @@ states; columns besides those of ``documents`` are left out.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegrid.llm import bpe, minhash, mixture, pii, toxicity
-from tastegrid.llm.common import documents, keep
+from tastegrid.llm.common import bounded_batches, documents, keep
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -49,12 +50,24 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs.select(*COLUMNS)).withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_copies),
-    ("personal_data", redact_personal_data),
-    ("source_mix", mix_sources),
-    ("tokens", encode),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _bounded(stage: Stage) -> Stage:
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", _bounded(drop_toxic)),
+    ("near_duplicates", _bounded(drop_near_copies)),
+    ("personal_data", _bounded(redact_personal_data)),
+    ("source_mix", _bounded(mix_sources)),
+    ("tokens", _bounded(encode)),
 ]
 
 #: The stages are trained models, hashing and tokenizing; no SQL expresses them.

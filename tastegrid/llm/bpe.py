@@ -109,7 +109,7 @@ class Automaton:
                     return [token]
                 before = self.paths.get(word[:j])
                 if before is None:
-                    if len(self.paths) >= 200_000:
+                    if len(self.paths) >= 100_000:
                         self.paths.clear()
                     before = self.paths[word[:j]] = self.path(word[:j])
                 if self.arc(before[-1], token):
@@ -156,15 +156,15 @@ class WordBpe:
             self.careful = regex.compile(r"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--[" + late + r"]]+|[\p{N}--[" + late + "]]|" + other)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.remembered = remembered
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, tuple[int, ...]] = {}
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[int, ...]:
         found = self.seen.get(word)
         if found is None:
             if len(self.seen) >= self.remembered:
                 self.seen.clear()
             letters = "".join([self.letters[b] for b in word.encode()])
-            found = self.seen[word] = [self.ids[t] for t in self.automaton.path(letters, self.suffix)]
+            found = self.seen[word] = tuple([self.ids[t] for t in self.automaton.path(letters, self.suffix)])
         return found
 
     def encode(self, text: str) -> list[int]:

@@ -145,6 +145,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark) -> None:
+    """Let Arrow batches end at 4 MB: the default of 64 MB or 10,000 rows is much for whole texts, once in the JVM and
+    more than once in Python, in each task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

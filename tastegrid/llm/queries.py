@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
 from tastegrid.llm.bpe import token_digest
-from tastegrid.llm.common import documents
+from tastegrid.llm.common import bounded_batches, documents
 from tastegrid.llm.embedding import range_join
 from tastegrid.llm.language import language_digest
 from tastegrid.llm.lattice import score
@@ -55,5 +57,14 @@ def op10_suffix_repetition(spark, sf_dir):
     return repetition_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_duplicates, op2_external_shuffle, op3_metric_range_join, op4_pii_bootstrap, op5_bpe_automaton, op6_lattice_likelihood, op7_language_hierarchy, op8_toxicity_automaton, op9_source_mix, op10_suffix_repetition)}
+def _bounded(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _bounded(f) for f in (op1_minhash_near_duplicates, op2_external_shuffle, op3_metric_range_join, op4_pii_bootstrap, op5_bpe_automaton, op6_lattice_likelihood, op7_language_hierarchy, op8_toxicity_automaton, op9_source_mix, op10_suffix_repetition)}
 SQL: dict[str, str] = {}
