@@ -39,6 +39,8 @@ class FallbackConfig:
 @dataclass(frozen=True)
 class PrecomputeConfig:
     top_n: int = 50
+    # Candidates per user beyond those needed, to make up for the ones that the user has already seen.
+    over_fetch: int = 0
     buckets: int = USER_BUCKETS
 
 
@@ -57,8 +59,8 @@ class AlsConfig:
     nonnegative: bool = True
     implicit_prefs: bool = False
     cold_start: str = "drop"
-    # Blocks of the factor matrices; raise with the number of executor cores.
-    blocks: int = 10
+    # Blocks of the factor matrices; None: as many as the session runs tasks at once, ten at least.
+    blocks: int | None = None
 
 
 @dataclass(frozen=True)

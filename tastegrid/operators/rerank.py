@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import floor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid.config import BlendConfig
@@ -42,7 +42,7 @@ def recency_norm(rows: DataFrame, extent: DataFrame) -> DataFrame:
 def deepest_useful_rank(top_n: int, config: BlendConfig) -> int | None:
     """The genre rank below which no row can reach a user's ``top_n``; None if there is no such rank.
 
-    The three boosted signals lie in [0, 1], so two rows of a genre differ by at most ``spread`` in boosts.  A row
+    The three boosted signals lie in [0, 1] (``rerank`` fails on any other value), so two rows of a genre differ by at most ``spread`` in boosts.  A row
     placed more than ``spread / penalty`` behind another one of its genre therefore ends up below it; once ``top_n``
     rows are ahead like that, it is out.  One place is added for scores that are equal within rounding.
     """
@@ -52,6 +52,13 @@ def deepest_useful_rank(top_n: int, config: BlendConfig) -> int | None:
     return top_n + floor(spread / config.diversity_penalty) + 1
 
 
+def within_unit(name: str) -> Column:
+    """The column, or an error where it lies outside [0, 1] by more than rounding: the cut of ``rerank`` rests on that."""
+    value = F.col(name)
+    wrong = F.raise_error(F.concat(F.lit(f"{name} is outside [0, 1]: "), value.cast("string"))).cast("double")
+    return F.when(value.between(-1e-9, 1 + 1e-9) | value.isNull(), value).otherwise(wrong)
+
+
 def rerank(rows: DataFrame, extent: DataFrame, top_n: int, config: BlendConfig = BlendConfig()) -> DataFrame:
     """The ``top_n`` rows of each user by boosted, diversity-penalised hybrid score.
 
@@ -59,7 +66,9 @@ def rerank(rows: DataFrame, extent: DataFrame, top_n: int, config: BlendConfig =
     Candidates are cut per (user, first genre) before they are ranked per user, so neither ranking ever holds more
     than a bounded number of rows of one user.
     """
-    filled = hybrid_score(rows.fillna(0.0, ["popularity_norm"]), config)
+    known = rows.fillna(0.0, ["popularity_norm"])
+    known = known.withColumns({name: within_unit(name) for name in ("popularity_norm", "max_genre_weight")})
+    filled = hybrid_score(known, config)
     # The ordering keys are columns of their own, computed once for all rankings.
     keyed = filled.withColumns({"_quality": comparable("hybrid_score"), "_liked": comparable("popularity_norm")})
     quality = [F.col("_quality").desc(), F.col("_liked").desc(), F.col("item_id").asc()]

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.config import ServeConfig
-from tastegrid.functions import matches_genre, primary_genre, request_key
-from tastegrid.operators.skew import distinct_for_join, group_for_join
+from tastegrid.functions import matches_genre, primary_genre, request_key, user_bucket
+from tastegrid.operators.skew import distinct_for_join, group_for_join, matching
 
 # The wording.
 GENRE_REASON = "Matches requested genre: "
@@ -72,6 +72,30 @@ def _first(recs: Column, n: Column | int) -> Column:
     return F.slice(recs, F.lit(1), F.lit(n) if isinstance(n, int) else n)
 
 
+# Rows of some users --------------------------------------------------------------------------------------------------
+
+#: Where a bucketed table's ``user_bucket`` column carries the number of buckets.
+BUCKET_COUNT = "user_buckets"
+
+
+def bucket_count(table: DataFrame) -> int | None:
+    """How many user buckets a stored table has; None if it is not bucketed or does not say."""
+    return table.schema["user_bucket"].metadata.get(BUCKET_COUNT) if "user_bucket" in table.columns else None
+
+
+def of_users(table: DataFrame, users: DataFrame) -> DataFrame:
+    """The table's rows of the given users.
+
+    Of a table that knows its number of buckets, only the folders of the users' buckets are read: their numbers, as many
+    as there are buckets at most, are one value that Spark computes before it lists the files.
+    """
+    buckets = bucket_count(table)
+    if buckets is not None:
+        asked = users.agg(F.collect_set(user_bucket(buckets=buckets)).alias("asked")).scalar()
+        table = table.filter(F.array_contains(asked, F.col("user_bucket")))
+    return matching(table, users, "user_id")
+
+
 # Requests ------------------------------------------------------------------------------------------------------------
 
 
@@ -89,8 +113,8 @@ def distinct_requests(requests: DataFrame) -> DataFrame:
 
 
 def user_has_history(requests: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Add ``has_history``: the user has rated something."""
-    known = distinct_for_join(ratings, "user_id").withColumn("has_history", F.lit(True))
+    """Add ``has_history``: the user has rated something.  Only the ratings of users who ask are read."""
+    known = distinct_for_join(of_users(ratings, requests), "user_id").withColumn("has_history", F.lit(True))
     return requests.join(known, "user_id", "left").fillna(False, ["has_history"])
 
 
@@ -165,9 +189,10 @@ def top_by_genre(fallback: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 def serve_hybrid(requests: DataFrame, precomputed: DataFrame) -> DataFrame:
     """Add ``hybrid``: the user's stored rows that match the requested genre, cut to the requested size.
 
-    Rows keep their stored rank, so ranks may have gaps after the genre filter.
+    Only the stored rows of users who ask are read.  Rows keep their stored rank, so ranks may have gaps after the genre
+    filter.
     """
-    joined = requests.join(stored_lists(precomputed), "user_id", "left")
+    joined = requests.join(stored_lists(of_users(precomputed, requests)), "user_id", "left")
     fitting = F.filter(
         "stored", lambda rec: F.col("genre").isNull() | matches_genre(rec["genres"], F.col("genre"))
     )
@@ -178,7 +203,7 @@ def with_direct(requests: DataFrame, als_recommendations: DataFrame | None, conf
     """Add ``direct``: model recommendations where that route is allowed, else an empty list."""
     if als_recommendations is None or not config.allow_als_legacy:
         return requests.withColumn("direct", F.array().cast(REC_LIST))
-    joined = requests.join(als_lists(als_recommendations), "user_id", "left")
+    joined = requests.join(als_lists(of_users(als_recommendations, requests)), "user_id", "left")
     return joined.withColumn("direct", _or_empty(_first(F.col("direct"), F.col("top_n"))))
 
 
@@ -247,7 +272,7 @@ def serve_batch(
     als_recommendations: DataFrame | None = None,
     config: ServeConfig = ServeConfig(),
 ) -> DataFrame:
-    """One nested response row per request.
+    """One nested response row per request; ``short`` marks those with fewer recommendations than asked for.
 
     Requests (``request_id``, ``user_id``, ``top_n``, ``genre``) are shuffled once, by user, for both the history check
     and the stored lists.  The per-genre lists are as small as the genre vocabulary; the overall list is one value.
@@ -270,6 +295,7 @@ def serve_batch(
         "route",
         "selected_genre",
         "recommendations",
+        (F.size("recommendations") < F.col("top_n")).alias("short"),
         score_rows(F.col("recommendations")).alias("scores"),
         because_you_watched(F.col("recommendations"), config.because_length).alias("because_you_watched"),
         _first(everyone["trending"], wide).alias("top_trending"),

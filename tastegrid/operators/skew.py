@@ -27,3 +27,9 @@ def group_for_join(df: DataFrame, *keys: str) -> GroupedData:
 def distinct_for_join(df: DataFrame, *keys: str) -> DataFrame:
     """The distinct keys, to be joined by them; see ``group_for_join``."""
     return df.select(*keys, _beside(*keys)).distinct().select(*keys)
+
+
+def matching(df: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows of ``df`` whose keys occur in ``wanted``, to be grouped and joined by them; see ``group_for_join``."""
+    asked = wanted.select(*keys, _beside(*keys)).distinct()
+    return df.withColumn("_beside", _beside(*keys)).join(asked, ["_beside", *keys], "left_semi").drop("_beside")

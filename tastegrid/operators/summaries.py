@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def best_trial(trials: DataFrame) -> DataFrame:
-    """The trial with the lowest error (the first among equals) and the number of trials, as one row."""
+def best_trial(trials: DataFrame, all_runs: bool = False) -> DataFrame:
+    """The trial with the lowest error (the first among equals) and the number of trials, as one row.
+
+    Only the latest run counts, unless ``all_runs`` are asked for: older runs were fitted on other data.
+    """
+    if not all_runs:
+        trials = trials.filter(F.col("run_id") == trials.agg(F.max("run_id")).scalar())
     scored = trials.filter(F.col("rmse").isNotNull())
     entry = F.struct("rank", "reg_param", "max_iter", "rmse")
     return scored.agg(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field, replace
+from datetime import datetime, timezone
 from itertools import product
 
 from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tastegrid.config import (
     AlsConfig,
@@ -23,11 +26,12 @@ from tastegrid.operators.evaluate import rmse
 from tastegrid.operators.fallback import fallback_all
 from tastegrid.operators.split import train_test
 from tastegrid.plans.hybrid import hybrid_precomputed, hybrid_ranking_eval
-from tastegrid.session import reuse
+from tastegrid.session import release, reuse
 from tastegrid.sources.raw import read_feedback
 from tastegrid.sources.tables import (
     append_ranking_metrics,
     append_trials,
+    read_gold_precomputed,
     read_silver_items,
     read_silver_ratings,
     save_model_version,
@@ -46,6 +50,8 @@ class TrainingConfig:
     evaluation: EvalConfig = field(default_factory=EvalConfig)
     precompute: PrecomputeConfig = field(default_factory=PrecomputeConfig)
     fallback: FallbackConfig = field(default_factory=FallbackConfig)
+    # Stored lists are made deep enough to answer requests of this size.
+    largest_request: int = 50
 
 
 @dataclass(frozen=True)
@@ -81,14 +87,18 @@ def als_grid(
 
 
 def run_training(spark: SparkSession, paths: StorePaths, config: TrainingConfig = TrainingConfig()) -> dict:
-    """Train on the silver ratings and the feedback, then replace model and gold tables."""
+    """Train on the silver ratings and the feedback, then replace model and gold tables.
+
+    Returns the model's path, the run and its trials, and how many users have fewer stored recommendations than asked for.
+    """
     items = read_silver_items(spark, paths.silver_items)
     merged = merge_feedback(read_silver_ratings(spark, paths.silver_ratings), read_feedback(spark, paths.feedback))
     ratings = reuse(merged)
     train, test = (reuse(side) for side in train_test(ratings, config.split))
 
     model, trials = als_grid(train, test, config.als, config.grid)
-    append_trials(trial_rows(spark, trials), paths.trials)
+    run_id = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    append_trials(trial_rows(spark, trials, run_id), paths.trials)
     version_path = save_model_version(model, paths.models, spark)
 
     depth = max(config.blend.candidate_top_k, config.evaluation.k)
@@ -96,15 +106,20 @@ def run_training(spark: SparkSession, paths: StorePaths, config: TrainingConfig
     metrics = hybrid_ranking_eval(test_candidates, train, test, items, config.blend, config.evaluation)
     append_ranking_metrics(metrics, paths.metrics)
 
-    depth = max(config.blend.candidate_top_k, config.precompute.top_n)
+    store = replace(config.precompute, top_n=max(config.precompute.top_n, config.largest_request))
+    depth = max(config.blend.candidate_top_k, store.top_n) + store.over_fetch
     candidates = als_candidates_all(model, depth)
-    precomputed = hybrid_precomputed(candidates, ratings, items, config.blend, config.precompute)
+    precomputed = hybrid_precomputed(candidates, ratings, items, config.blend, store)
     write_gold_precomputed(precomputed, paths.gold_precomputed, config.precompute.buckets)
-    write_gold_fallback(fallback_all(ratings, items, config.fallback), paths.gold_fallback)
+    listed = replace(config.fallback, top_n=max(config.fallback.top_n, config.largest_request))
+    write_gold_fallback(fallback_all(ratings, items, listed), paths.gold_fallback)
+    stored = read_gold_precomputed(spark, paths.gold_precomputed).groupBy("user_id").count()
+    everyone = ratings.select("user_id").distinct().join(stored, "user_id", "left")
+    short = everyone.filter(F.coalesce("count", F.lit(0)) < store.top_n).count()
 
     for kept in (train, test, ratings):
-        kept.unpersist()
-    return {"model_path": version_path, "trials": trials}
+        release(kept)
+    return {"model_path": version_path, "run_id": run_id, "trials": trials, "short_users": short}
 
 
 def retrain_job(spark: SparkSession, paths: StorePaths, config: TrainingConfig = TrainingConfig()) -> dict:

@@ -41,6 +41,39 @@ FALLBACK = _schema(
     popularity_score=DoubleType(),
 )
 
+PRECOMPUTED = _schema(
+    user_id=IntegerType(),
+    item_id=IntegerType(),
+    als_score=DoubleType(),
+    content_score=DoubleType(),
+    max_genre_weight=DoubleType(),
+    genre_match_count=IntegerType(),
+    title=StringType(),
+    genres=StringType(),
+    primary_genre=StringType(),
+    release_year=IntegerType(),
+    rating_count=LongType(),
+    avg_rating=DoubleType(),
+    popularity_score=DoubleType(),
+    popularity_norm=DoubleType(),
+    als_norm=DoubleType(),
+    hybrid_score=DoubleType(),
+    recency_norm=DoubleType(),
+    genre_rank=IntegerType(),
+    rerank_score=DoubleType(),
+    rank=IntegerType(),
+    favorite_genre=StringType(),
+    favorite_genre_weight=DoubleType(),
+    anchor_title=StringType(),
+    explain_because=StringType(),
+    explain_social=StringType(),
+    explain_genre=StringType(),
+    explain=StringType(),
+    route=StringType(),
+    score=DoubleType(),
+    user_bucket=IntegerType(),
+)
+
 TRIALS = _schema(
-    trial_no=IntegerType(), rank=IntegerType(), reg_param=DoubleType(), max_iter=IntegerType(), rmse=DoubleType()
+    run_id=StringType(), trial_no=IntegerType(), rank=IntegerType(), reg_param=DoubleType(), max_iter=IntegerType(), rmse=DoubleType()
 )

@@ -31,22 +31,39 @@ def shared_dir(spark: SparkSession) -> str | None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; a local temporary folder only where none is configured (tests)."""
+    """A fresh path under the shared folder.
+
+    Where none is configured, a temporary folder serves a local master (tests); on a cluster that is an error, because
+    executors would write to folders that nobody else can read.
+    """
     root = shared_dir(spark)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         return f"{tempfile.mkdtemp(prefix='tastegrid-')}/{name}"
     return "/".join([root.rstrip("/"), f"tastegrid-{uuid.uuid4().hex}", name])
 
 
 def reuse(df: DataFrame) -> DataFrame:
-    """Keep ``df`` for several later jobs: a reliable checkpoint where a folder is configured, else a spillable cache.
+    """Keep ``df`` for several later jobs: written once to the shared folder and read back, else a spillable cache.
 
-    Losing executors then costs at most a re-read (checkpoint) or a recomputation (cache) of the lost partitions.
+    Losing executors then costs at most a re-read (files) or a recomputation (cache) of the lost partitions.  Hand the
+    result to ``release`` when it is no longer needed.
     """
     spark = df.sparkSession
-    root = shared_dir(spark)
-    if root is None:
+    if shared_dir(spark) is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=False)
+    path = scratch_path(spark, "kept")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Free what ``reuse`` kept for ``df``; a plain DataFrame is left alone."""
+    df.unpersist()
+    root = shared_dir(df.sparkSession)
+    files = [] if root is None else df.inputFiles()
+    if files and "/tastegrid-" in files[0] and files[0].split("/")[-2] == "kept":
+        jvm = df.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tastegrid.operators.gates import accepted_rows, event_gate, rating_gate, rating_to_event, rejected_rows
+from tastegrid.operators.gates import accepted_rows, event_gate, rating_gate, rejected_rows
 from tastegrid.schemas import EVENTS, RATINGS
 
 EVENT_COLUMNS = EVENTS.names
@@ -24,12 +24,18 @@ def feedback_source(spark: SparkSession, folder: str) -> DataFrame:
 
 def stamped_events(events: DataFrame) -> DataFrame:
     """Events with their UTC time stamp (now, if they carry none), its day, and the gate's verdict."""
-    gated = event_gate(events)
+    stamped = events.withColumn("_at", F.try_to_timestamp("timestamp"))
+    gated = event_gate(stamped)
+    # A time stamp that is there but cannot be read rejects the event.
+    gated = gated.withColumn("accepted", F.col("accepted") & (F.col("timestamp").isNull() | F.col("_at").isNotNull()))
     utc_now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
     now = F.concat(F.date_format(utc_now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
     stamp = F.coalesce(F.col("timestamp"), now)
+    # The day in UTC, whatever offset the stamp carries; unreadable stamps lie under "unknown".
+    read = F.to_utc_timestamp(F.coalesce("_at", F.when(F.col("timestamp").isNull(), F.current_timestamp())), F.current_timezone())
+    day = F.coalesce(F.date_format(read, "yyyy-MM-dd"), F.lit("unknown"))
     metadata = F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>"))
-    return gated.withColumns({"timestamp": stamp, "metadata": metadata}).withColumn("dt", F.substring("timestamp", 1, 10))
+    return gated.withColumns({"timestamp": stamp, "metadata": metadata, "dt": day}).drop("_at")
 
 
 def stamped_feedback(feedback: DataFrame) -> DataFrame:
@@ -38,10 +44,9 @@ def stamped_feedback(feedback: DataFrame) -> DataFrame:
     return rating_gate(feedback.withColumn("ts", F.coalesce("ts", now)))
 
 
-def first_writes(feedback: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop repeated deliveries of one (user, item, ts) that arrive within ``delay``; state older than that is freed."""
-    timed = feedback.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
-    return timed.dropDuplicatesWithinWatermark(["user_id", "item_id", "ts"]).drop("event_time")
+def settled_feedback(stored: DataFrame) -> DataFrame:
+    """Stored ratings once each: of repeated deliveries of one (user, item, ts) the highest rating counts."""
+    return stored.groupBy("user_id", "item_id", "ts").agg(F.max("rating").alias("rating")).select("user_id", "item_id", "rating", "ts")
 
 
 def _file_sink(rows: DataFrame, path: str, checkpoint: str, partition: str | None, once: bool) -> StreamingQuery:
@@ -65,16 +70,14 @@ def stream_event_sink(
 
 
 def stream_feedback_sink(
-    feedback: DataFrame, path: str, rejected_path: str, checkpoint: str, once: bool = False, delay: str = "1 day"
+    feedback: DataFrame, path: str, rejected_path: str, checkpoint: str, once: bool = False
 ) -> tuple[StreamingQuery, StreamingQuery]:
-    """Store accepted ratings once each, and rejected ones apart."""
+    """Store every accepted rating as it was delivered, however late, and rejected ones apart.
+
+    No state is held and nothing is dropped; ``settled_feedback`` merges repeated deliveries on reading.
+    """
     gated = stamped_feedback(feedback)
     return (
-        _file_sink(first_writes(accepted_rows(gated), delay), path, f"{checkpoint}/accepted", None, once),
+        _file_sink(accepted_rows(gated), path, f"{checkpoint}/accepted", None, once),
         _file_sink(rejected_rows(gated), rejected_path, f"{checkpoint}/rejected", None, once),
     )
-
-
-def rating_events(feedback: DataFrame) -> DataFrame:
-    """The events that a stream of ratings raises; feed them to ``stream_event_sink``."""
-    return rating_to_event(feedback)

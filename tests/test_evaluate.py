@@ -77,10 +77,12 @@ def test_split_sides(ratings):
 
 def test_best_trial_takes_the_first_of_equals(rows):
     trials = rows(
-        "trial_no int, rank int, reg_param double, max_iter int, rmse double",
-        (2, 8, 0.1, 5, 0.9), (1, 4, 0.1, 5, 0.9), (3, 2, 0.1, 5, 1.0), (4, 1, 0.1, 5, None),
+        "run_id string, trial_no int, rank int, reg_param double, max_iter int, rmse double",
+        ("b", 2, 8, 0.1, 5, 0.9), ("b", 1, 4, 0.1, 5, 0.9), ("b", 3, 2, 0.1, 5, 1.0), ("b", 4, 1, 0.1, 5, None),
+        ("a", 1, 64, 0.1, 5, 0.1),
     )
     assert tuple(summaries.best_trial(trials).head()) == (0.9, 4, 0.1, 5, 3)
+    assert tuple(summaries.best_trial(trials, all_runs=True).head()) == (0.1, 64, 0.1, 5, 4)
 
 
 def test_latest_metrics(rows):

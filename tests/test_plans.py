@@ -55,9 +55,7 @@ def test_scans_read_only_what_they_need(stored):
 def test_no_window_over_everything(stored):
     ratings, items, candidates = stored
     text = plan(hybrid.rerank_candidates(candidates, ratings, items))
-    assert "Exchange SinglePartition" not in "".join(
-        line for line in text.splitlines() if "Window" in line
-    ) and "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
+    assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
     for line in text.splitlines():
         if " Window [" in line:
             assert "[user_id" in line
@@ -85,7 +83,7 @@ def test_aggregates_merge_before_the_shuffle(stored):
 def test_popularity_scans_once(stored):
     text = plan(popularity.item_popularity(stored[0]), run=True)
     final = text.split("== Initial Plan ==")[0]
-    assert "Subquery" in final
+    assert final.count("Scan parquet") == 1 and "Subquery" in final
 
 
 def test_ratings_meet_items_before_they_fan_out(stored, conf):

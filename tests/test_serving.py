@@ -154,8 +154,15 @@ def test_item_stubs(items, rows):
     assert tuples(stubs) == [(1, "A", "x"), (2, "Unknown", None)]
 
 
-@pytest.mark.parametrize("n,kept", [(2, 2), (0, 1), (500, 100)])
-def test_history_size_is_clamped(rows, n, kept):
+@pytest.mark.parametrize("n,kept", [(2, 2), (120, 120), (500, 150)])
+def test_history_size(rows, n, kept):
     history = rows("history_id long, profile_id long", *[(i, 1) for i in range(150)])
     got = tuples(profiles.history_last_n(history, n), "history_id")
     assert len(got) == kept and (149,) in got
+    with pytest.raises(ValueError):
+        profiles.history_last_n(history, 0)
+
+
+def test_short_answers_are_marked(rows, stores):
+    got = answers(rows, stores, (1, 555, 12, None), (2, 555, 13, None), (3, 1, 6, None), (4, 1, 7, None))
+    assert [got[n]["short"] for n in (1, 2, 3, 4)] == [False, True, False, True]

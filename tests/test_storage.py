@@ -1,10 +1,13 @@
+import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tastegrid import AlsConfig, GridConfig, PrecomputeConfig
 from tastegrid.config import FallbackConfig
 from tastegrid.operators.als import als_candidates_all, als_candidates_subset, als_enriched, als_fit, als_predict
+from tastegrid.operators import serving
 from tastegrid.operators.fallback import fallback_all
 from tastegrid.plans.etl import run_etl
 from tastegrid.plans.training import StorePaths, TrainingConfig, retrain_job
@@ -57,6 +60,21 @@ def test_silver_round_trip_and_pruning(spark, tmp_path, ratings):
     assert {r[0] for r in tuples(wanted, "user_id")} == {-3, 4}
 
 
+def test_any_number_of_buckets_reads_back_whole(spark, tmp_path, ratings):
+    df = ratings(*[(u, i, 3.0, u) for u in range(200) for i in range(2)])
+    path = str(tmp_path / "silver")
+    tables.write_silver_ratings(df, path, buckets=16)
+    stored = tables.read_silver_ratings(spark, path)
+    assert tuples(tables.in_buckets_of(stored, df), "user_id", "item_id") == tuples(df, "user_id", "item_id")
+    assert tables.for_user(stored, 77).count() == 2
+    unmarked = spark.read.schema(stored.schema).parquet(path).withMetadata("user_bucket", {})
+    assert tables.in_buckets_of(unmarked, df).count() == 400 and tables.for_user(unmarked, 77).count() == 2
+    served = serving.user_has_history(df.filter("user_id = 3").select("user_id").distinct(), stored)
+    scan = [line for line in plan(served).splitlines() if "PartitionFilters" in line]
+    assert any("array_contains" in line.split("PartitionFilters")[1] for line in scan)
+    assert served.filter("has_history").count() == 1
+
+
 def test_fallback_is_rebuilt_once(spark, tmp_path, ratings, items):
     path, built = str(tmp_path / "fallback"), []
 
@@ -67,6 +85,10 @@ def test_fallback_is_rebuilt_once(spark, tmp_path, ratings, items):
     for _ in range(2):
         assert tables.read_gold_fallback(spark, path, build).count() == 2
     assert len(built) == 1
+    for file in glob.glob(f"{path}/part-*"):
+        with open(file, "w") as damaged:
+            damaged.write("damaged")
+    assert tables.read_gold_fallback(spark, path, build).count() == 2 and len(built) == 2
 
 
 def test_etl_job(spark, tmp_path):
@@ -98,25 +120,25 @@ def test_als_invariants(fitted):
     assert {r[0] for r in tuples(few, "user_id")} == {0, 1, 2, 3, 4}
 
 
-def test_broadcast_only_below_the_bound(spark, fitted):
+def test_titles_beside_candidates(fitted):
     view, _, _, model = fitted
     some = als_candidates_all(model, 3)
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastHashJoin" in plan(als_enriched(some, view.items(), broadcast_rows=200))
-        for bound in (199, None):
-            assert "BroadcastHashJoin" not in plan(als_enriched(some, view.items(), broadcast_rows=bound))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    named = als_enriched(some, view.items())
+    assert tuples(named, "user_id", "item_id") == tuples(some, "user_id", "item_id")
+    assert named.join(view.items(), ["item_id", "title", "genres"]).count() == named.filter("title IS NOT NULL").count() > 0
 
 
 def test_model_versions(spark, fitted, tmp_path):
     model = fitted[3]
+    older = tables.save_model_version(model, str(tmp_path), spark)
     path = tables.save_model_version(model, str(tmp_path), spark)
-    assert spark.read.parquet(str(tmp_path / "latest")).head()["path"] == path
+    assert tables.latest_version(spark, str(tmp_path)).head()["path"] == path != older
     loaded = tables.load_als_model(str(tmp_path))
     assert loaded.rank == model.rank and tables.load_als_model(str(tmp_path / "nowhere")) is None
+    (tmp_path / "broken" / "latest").mkdir(parents=True)
+    (tmp_path / "broken" / "latest" / "part-0.parquet").write_text("not a table")
+    with pytest.raises(Exception):
+        tables.load_als_model(str(tmp_path / "broken"))
 
 
 def test_retrain_job(spark, small_dir, tmp_path):
@@ -124,23 +146,32 @@ def test_retrain_job(spark, small_dir, tmp_path):
     paths = StorePaths(**{name: str(tmp_path / name) for name in StorePaths.__dataclass_fields__})
     tables.write_silver_ratings(view.ratings(), paths.silver_ratings)
     tables.write_silver_items(view.items(), paths.silver_items)
+    view.feedback().write.option("header", True).csv(paths.feedback)
     config = TrainingConfig(
         als=AlsConfig(blocks=2),
         grid=GridConfig(ranks=(2, 4), reg_params=(0.1,), max_iters=(2,)),
         precompute=PrecomputeConfig(top_n=10),
+        largest_request=30,
     )
     result = retrain_job(spark, paths, config)
     trials = spark.read.parquet(paths.trials).collect()
+    assert {r.run_id for r in trials} == {result["run_id"]} and result["short_users"] >= 0
     assert sorted(r.rmse for r in trials) == sorted(t["rmse"] for t in result["trials"]) and len(trials) == 2
     metrics = spark.read.parquet(paths.metrics).head()
     assert all(0 <= metrics[name] <= 1 for name in ("precision_at_k", "recall_at_k", "ndcg_at_k"))
     assert metrics.algorithm == "hybrid_rerank" and metrics.evaluated_users > 0
     stored = tables.read_gold_precomputed(spark, paths.gold_precomputed)
+    # Feedback took part: its pairs are seen, too.
     seen = view.merged().select("user_id", "item_id")
-    assert stored.join(view.ratings().select("user_id", "item_id"), ["user_id", "item_id"]).count() == 0
+    assert seen.join(view.ratings(), ["user_id", "item_id"], "left_anti").count() > 0
+    assert stored.join(seen, ["user_id", "item_id"]).count() == 0
     ranks = stored.groupBy("user_id").agg({"rank": "max", "item_id": "count"}).collect()
-    assert seen.count() > 0 and all(r["max(rank)"] == r["count(item_id)"] <= 10 for r in ranks)
+    assert all(r["max(rank)"] == r["count(item_id)"] <= 30 for r in ranks)
     out_of_range = "NOT (als_norm BETWEEN 0 AND 1 AND popularity_norm BETWEEN 0 AND 1 AND recency_norm BETWEEN 0 AND 1)"
     assert stored.filter(out_of_range).count() == 0
-    assert tables.read_gold_fallback(spark, paths.gold_fallback).filter("fallback_type = 'global'").count() == 10
+    assert tables.read_gold_fallback(spark, paths.gold_fallback).filter("fallback_type = 'global'").count() == 30
+    asked = spark.createDataFrame([(1, 10**8, 30, None), (2, 10**8, 200, None)], "request_id long, user_id int, top_n int, genre string")
+    lists = tables.read_gold_fallback(spark, paths.gold_fallback)
+    answers = serving.serve_batch(asked, view.merged(), stored, lists).select("request_id", "short", F.size("recommendations")).collect()
+    assert sorted(tuple(r) for r in answers) == [(1, False, 30), (2, True, 30)]
     spark.range(1).count()  # the session is still up

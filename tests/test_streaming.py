@@ -51,13 +51,40 @@ def test_feedback_stream_equals_its_batch_twin(spark, tmp_path):
     for _ in range(2):
         source = feeds.feedback_source(spark, f"{root}/in")
         drain(feeds.stream_feedback_sink(source, f"{root}/out", f"{root}/bad", f"{root}/state", once=True))
-    good = spark.read.parquet(f"{root}/out")
+    delivered = spark.read.parquet(f"{root}/out")
+    assert delivered.count() == 4
+    good = feeds.settled_feedback(delivered)
     assert tuples(good) == [(1, 1, 4.0, 100), (3, 1, 0.5, 200)]
     assert tuples(spark.read.parquet(f"{root}/bad")) == [(2, 1, 9.0, 100)]
     batch = spark.read.schema(good.schema).option("header", True).csv(f"{root}/in")
     assert tuples(gates.accepted_rows(gates.rating_gate(batch)).distinct()) == tuples(good)
 
 
+def test_late_ratings_are_kept(spark, tmp_path):
+    root = str(tmp_path)
+    (tmp_path / "in").mkdir()
+    header = "userId,movieId,rating,timestamp\n"
+    for name, line in (("a", "1,1,4.0,10000000\n"), ("b", "2,1,3.0,9000000\n1,1,4.5,10000000\n")):
+        (tmp_path / "in" / f"{name}.csv").write_text(header + line)
+        source = feeds.feedback_source(spark, f"{root}/in")
+        drain(feeds.stream_feedback_sink(source, f"{root}/out", f"{root}/bad", f"{root}/state", once=True))
+    stored = spark.read.parquet(f"{root}/out")
+    assert stored.count() == 3
+    assert tuples(feeds.settled_feedback(stored)) == [(1, 1, 4.5, 10000000), (2, 1, 3.0, 9000000)]
+
+
+def test_days_are_read_from_the_stamp(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stamps = ["2024-01-01T23:30:00-05:00", "2024-01-01T10:00:00", "junk/../../x"]
+    lines = [f'{{"timestamp":"{s}","event_type":"view","user_id":{i}}}' for i, s in enumerate(stamps)]
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines))
+    root = str(tmp_path)
+    drain(feeds.stream_event_sink(feeds.event_source(spark, f"{root}/in"), f"{root}/out", f"{root}/bad", f"{root}/state", once=True))
+    stored = spark.read.parquet(f"{root}/out").withColumn("dt", F.col("dt").cast("string"))
+    assert tuples(stored, "user_id", "dt") == [(0, "2024-01-02"), (1, "2024-01-01")]
+    assert tuples(spark.read.parquet(f"{root}/bad"), "user_id", "dt") == [(2, "unknown")]
+
+
 def test_profile_ratings_replay(spark, tmp_path, rows):
     root = str(tmp_path)
     schema = "profile_id long, item_id int, rating double, source string, rated_at long, write_no long"

@@ -53,7 +53,7 @@ def compare(spark: SparkSession, connection, folder: str, name: str) -> str | No
     got_columns = mine.columns
     got = [tuple(r) for r in mine.collect()]
     if name not in ORACLES:
-        return None if got or name else "no rows"
+        return None if got else "no rows"
     result = connection.execute(ORACLES[name])
     want_columns = [c[0] for c in result.description]
     want = result.fetchall()

@@ -9,15 +9,14 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.recommendation import ALSModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegrid import (
-    AlsConfig,
     BlendConfig,
     EvalConfig,
     FallbackConfig,
-    GridConfig,
     PrecomputeConfig,
     ServeConfig,
     apply_session_settings,
@@ -37,7 +36,8 @@ from tastegrid.operators import serving, split, summaries, taste
 from tastegrid.plans import hybrid as hybrid_plan
 from tastegrid.plans.etl import run_etl
 from tastegrid.plans.training import StorePaths, TrainingConfig, als_grid, retrain_job
-from tastegrid.session import reuse, scratch_path
+from tastegrid.schemas import TRIALS
+from tastegrid.session import release, reuse, scratch_path
 from tastegrid.sources import raw, tables
 from tastegrid.streaming import feeds, upserts
 from workload.views import Views
@@ -45,9 +45,6 @@ from workload.views import Views
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Small models keep the checks of the model-based queries short; all ratings take part.
-SMALL_ALS = AlsConfig(rank=8, max_iter=5, reg_param=0.1, blocks=4)
-SMALL_GRID = GridConfig(ranks=(4, 8), reg_params=(0.05, 0.1), max_iters=(3,))
 
 
 def query(build: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
@@ -500,6 +497,7 @@ def _trials(v: Views) -> DataFrame:
     miss = F.col("l_quantity") - 25
     grouped = lines.groupBy("l_linenumber", flag.alias("flag")).agg(F.round(F.sqrt(F.avg(miss * miss)), 9).alias("rmse"))
     return grouped.select(
+        F.lit("run-1").alias("run_id"),
         (F.col("l_linenumber") * 10 + F.col("flag")).alias("trial_no"),
         (F.col("l_linenumber") * 4).alias("rank"),
         (F.col("flag").cast("double") / 4).alias("reg_param"),
@@ -711,15 +709,18 @@ def q_stream_event_sink(v: Views) -> DataFrame:
 
 @query
 def q_stream_feedback_sink(v: Views) -> DataFrame:
-    """All feedback as CSV files through the stream; accepted ratings as stored."""
+    """All feedback as CSV files through the stream in two deliveries; accepted ratings once each, and rejected rows."""
     spark, root = v.spark, scratch_path(v.spark, "feedback_stream")
-    v.feedback().write.option("header", True).csv(f"{root}/in")
-    source = feeds.feedback_source(spark, f"{root}/in")
-    _drained(
-        *feeds.stream_feedback_sink(source, f"{root}/out", f"{root}/rejected", f"{root}/state", True, "100 days")
-    )
-    # Repeated deliveries are dropped whichever arrives first, so only their key is certain.
-    return spark.read.parquet(f"{root}/out").select("user_id", "item_id", "ts")
+    # The newer half of the days arrives first, so that the second delivery is late as a whole.
+    middle = v.feedback().agg(F.expr("(min(ts) + max(ts)) div 2")).scalar()
+    newer = F.coalesce(F.col("ts") > middle, F.lit(False))
+    for part in (newer, ~newer):
+        v.feedback().filter(part).write.mode("append").option("header", True).csv(f"{root}/in")
+        source = feeds.feedback_source(spark, f"{root}/in")
+        _drained(*feeds.stream_feedback_sink(source, f"{root}/out", f"{root}/rejected", f"{root}/state", once=True))
+    good = feeds.settled_feedback(spark.read.parquet(f"{root}/out")).withColumn("accepted", F.lit(True))
+    bad = spark.read.parquet(f"{root}/rejected").select("user_id", "item_id", "rating", "ts").withColumn("accepted", F.lit(False))
+    return good.unionByName(bad)
 
 
 @query
@@ -735,17 +736,13 @@ def q_stream_profile_ratings(v: Views) -> DataFrame:
 
 # Collaborative filtering ---------------------------------------------------------------------------------------------
 
-_fitted: dict[tuple[str, str], object] = {}
-
 
 def _model(v: Views):
-    """The model fitted on all training ratings, once per application and folder."""
-    key = (v.spark.sparkContext.applicationId, v.sf_dir)
-    if key not in _fitted:
-        train = reuse(v.train_test()[0])
-        _fitted[key] = als_ops.als_fit(train, SMALL_ALS)
-        train.unpersist()
-    return _fitted[key]
+    """The configured model, fitted on all training ratings."""
+    train = reuse(v.train_test()[0])
+    model = als_ops.als_fit(train)
+    release(train)
+    return model
 
 
 @query
@@ -765,31 +762,48 @@ def q_als_fit(v: Views) -> DataFrame:
 
 @query
 def q_als_predict(v: Views) -> DataFrame:
-    return als_ops.als_predict(_model(v), v.train_test()[1])
+    """Test ratings of known users and items, each with a finite prediction."""
+    predicted = als_ops.als_predict(_model(v), v.train_test()[1])
+    sound = F.col("prediction").isNotNull() & ~F.isnan("prediction") & (F.abs("prediction") < 1e6)
+    return predicted.select("user_id", "item_id", "rating", sound.alias("sound"))
+
+
+def _per_user(candidates: DataFrame) -> DataFrame:
+    """What is certain of a user's candidates: how many there are, all different, and none without a score."""
+    return candidates.groupBy("user_id").agg(
+        F.count("*").alias("candidates"),
+        F.count_distinct("item_id").alias("items"),
+        F.count(F.when(F.col("als_score").isNull() | F.isnan("als_score"), 1)).alias("without_score"),
+    )
 
 
 @query
 def q_als_candidates_all(v: Views) -> DataFrame:
-    return als_ops.als_candidates_all(_model(v), BlendConfig().candidate_top_k)
+    return _per_user(als_ops.als_candidates_all(_model(v), BlendConfig().candidate_top_k))
 
 
 @query
 def q_als_candidates_subset(v: Views) -> DataFrame:
-    return als_ops.als_candidates_subset(_model(v), v.train_test()[1], BlendConfig().candidate_top_k)
+    return _per_user(als_ops.als_candidates_subset(_model(v), v.train_test()[1], BlendConfig().candidate_top_k))
 
 
 @query
 def q_als_enriched(v: Views) -> DataFrame:
-    return als_ops.als_enriched(als_ops.als_candidates_all(_model(v), 10), v.items(), broadcast_rows=100_000)
+    """Per user the candidates and how many of them bear another title or other genres than the catalogue."""
+    named = als_ops.als_enriched(als_ops.als_candidates_all(_model(v), BlendConfig().candidate_top_k), v.items())
+    catalogue = v.items().select("item_id", F.struct("title", "genres").alias("card"))
+    both = named.withColumn("mine", F.struct("title", "genres")).join(catalogue, "item_id", "left")
+    none = F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("genres"))
+    differs = ~F.col("mine").eqNullSafe(F.coalesce("card", none))
+    return both.groupBy("user_id").agg(F.count("*").alias("candidates"), F.count(F.when(differs, 1)).alias("different"))
 
 
 @query
 def q_serve_als_legacy(v: Views) -> DataFrame:
-    """Requests answered with the model route allowed and no stored recommendations."""
+    """All requests with the model route allowed: stored lists, model lists and fallback lists all answer some."""
     direct = als_ops.als_enriched(als_ops.als_candidates_subset(_model(v), v.requests(), 20), v.items())
-    nothing = _precomputed(v).filter(F.lit(False))
     config = ServeConfig(allow_als_legacy=True)
-    answers = serving.serve_batch(v.requests(), v.merged(), nothing, _fallback(v), direct, config)
+    answers = serving.serve_batch(v.requests(), v.merged(), _precomputed(v), _fallback(v), direct, config)
     return answers.select(
         "request_id", "user_id", "route", F.size("recommendations").cast("long").alias("recommended")
     )
@@ -797,16 +811,25 @@ def q_serve_als_legacy(v: Views) -> DataFrame:
 
 @query
 def q_als_grid(v: Views) -> DataFrame:
+    """The configured grid; which trial is best follows from the errors."""
     train, test = (reuse(side) for side in v.train_test())
-    _, trials = als_grid(train, test, SMALL_ALS, SMALL_GRID)
-    return tables.trial_rows(v.spark, trials)
+    best, trials = als_grid(train, test)
+    for side in (train, test):
+        release(side)
+    lowest = min(trials, key=lambda t: (t["rmse"], t["trial_no"]))
+    rows = tables.trial_rows(v.spark, trials).withColumn("sound", F.col("rmse").between(0, 10))
+    return rows.select("trial_no", "rank", "reg_param", "max_iter", "sound", F.lit(best.rank == lowest["rank"]).alias("best_is_lowest"))
 
 
 @query
 def q_save_model_version(v: Views) -> DataFrame:
-    root = scratch_path(v.spark, "models")
-    tables.save_model_version(_model(v), root, v.spark)
-    return v.spark.read.parquet(f"{root}/latest")
+    """Two versions of one model: distinct names, the marker at the newer one, and each readable in full."""
+    root, model = scratch_path(v.spark, "models"), _model(v)
+    paths = [tables.save_model_version(model, root, v.spark) for _ in range(2)]
+    named = F.col("version").rlike(r"^model-\d{8}T\d{12}-[0-9a-f]{8}$") & F.endswith("path", F.concat(F.lit("/versions/"), F.col("version")))
+    marker = tables.latest_version(v.spark, root)
+    users = ALSModel.load(paths[0]).userFactors.count()
+    return marker.select(named.alias("named"), (F.col("path") == paths[1]).alias("newest"), F.lit(paths[0] != paths[1]).alias("distinct_paths"), F.lit(users).alias("users"))
 
 
 @query
@@ -814,25 +837,38 @@ def q_load_als_model(v: Views) -> DataFrame:
     root = scratch_path(v.spark, "models")
     tables.save_model_version(_model(v), root, v.spark)
     loaded = tables.load_als_model(root)
-    return loaded.userFactors.select(F.col("id").alias("user_id"), F.size("features").cast("long").alias("factors"))
+    kinds = loaded.userFactors.withColumn("kind", F.lit("user")).unionByName(loaded.itemFactors.withColumn("kind", F.lit("item")))
+    return kinds.select("kind", "id", F.size("features").cast("long").alias("factors"))
+
+
+def _violations(stored: DataFrame, seen: DataFrame) -> DataFrame:
+    """What must not be: seen items, gaps in the ranks, signals out of range. All counts are zero."""
+    outside = F.greatest(*[F.when(F.col(c).between(0, 1), 0).otherwise(1) for c in ("als_norm", "popularity_norm", "recency_norm")])
+    per_user = stored.groupBy("user_id").agg(F.max("rank").alias("last"), F.count("*").alias("rows"), F.sum(outside).alias("outside"))
+    repeated = stored.join(seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_semi")
+    counted = per_user.agg(F.count(F.when(F.col("last") != F.col("rows"), 1)).alias("gaps"), F.coalesce(F.sum("outside"), F.lit(0)).alias("outside"))
+    return counted.withColumn("seen", repeated.agg(F.count("*").alias("n")).scalar())
 
 
 @query
 def q_hybrid_precomputed_als(v: Views) -> DataFrame:
+    train = v.train_test()[0]
     candidates = als_ops.als_candidates_all(_model(v), PrecomputeConfig().top_n)
-    return _shown(hybrid_plan.hybrid_precomputed(candidates, v.train_test()[0], v.items()))
+    return _violations(hybrid_plan.hybrid_precomputed(candidates, train, v.items()), train)
 
 
 @query
 def q_hybrid_ranking_eval_als(v: Views) -> DataFrame:
+    """Ranking metrics of the model's own candidates: each between 0 and 1."""
     train, test = v.train_test()
     candidates = als_ops.als_candidates_subset(_model(v), test, BlendConfig().candidate_top_k)
-    return rounded(hybrid_plan.hybrid_ranking_eval(candidates, train, test, v.items()))
+    metrics = hybrid_plan.hybrid_ranking_eval(candidates, train, test, v.items())
+    return metrics.select(F.col("k").cast("long").alias("k"), *[F.col(c).between(0, 1).alias(c) for c in ("precision_at_k", "recall_at_k", "ndcg_at_k")])
 
 
 @query
 def q_retrain_job(v: Views) -> DataFrame:
-    """The whole job on stored silver tables and feedback; the fallback lists it published."""
+    """The whole job on stored silver tables and feedback, with the configured grid; all that it published."""
     spark, root = v.spark, scratch_path(v.spark, "store")
     paths = StorePaths(
         **{name: f"{root}/{name}" for name in StorePaths.__dataclass_fields__},
@@ -840,6 +876,25 @@ def q_retrain_job(v: Views) -> DataFrame:
     tables.write_silver_ratings(v.ratings(), paths.silver_ratings)
     tables.write_silver_items(v.items(), paths.silver_items)
     v.feedback().write.option("header", True).csv(paths.feedback)
-    grid = GridConfig(ranks=(8,), reg_params=(0.1,), max_iters=(3,))
-    retrain_job(spark, paths, TrainingConfig(als=SMALL_ALS, grid=grid))
-    return rounded(longs(tables.read_gold_fallback(spark, paths.gold_fallback), "rank"))
+    result = retrain_job(spark, paths, TrainingConfig(largest_request=20))
+    lists = tables.read_gold_fallback(spark, paths.gold_fallback)
+    lists = lists.select("fallback_type", "genre", F.col("rank").cast("long").alias("rank"), F.col("item_id").cast("long").alias("value"))
+
+    def fact(name: str, value) -> DataFrame:
+        column = value if isinstance(value, Column) else F.lit(value)
+        return spark.range(1).select(F.lit(name).alias("fallback_type"), F.lit(None).cast("string").alias("genre"), F.lit(0).cast("long").alias("rank"), column.cast("long").alias("value"))
+
+    stored = tables.read_gold_precomputed(spark, paths.gold_precomputed)
+    bad = _violations(stored, v.merged())
+    trials = spark.read.schema(TRIALS).parquet(paths.trials)
+    metrics = spark.read.parquet(paths.metrics)
+    known = tables.latest_version(spark, paths.models).filter(F.col("path") == result["model_path"]).count()
+    facts = [
+        fact("trials", trials.filter("rmse IS NOT NULL").agg(F.count("*")).scalar()),
+        fact("metrics", metrics.filter("precision_at_k BETWEEN 0 AND 1 AND ndcg_at_k BETWEEN 0 AND 1").agg(F.count("*")).scalar()),
+        fact("models", known),
+        fact("violations", bad.select(F.col("gaps") + F.col("outside") + F.col("seen")).scalar()),
+    ]
+    for one in facts:
+        lists = lists.unionByName(one)
+    return lists

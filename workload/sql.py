@@ -498,7 +498,7 @@ oracle(
 )
 TRIALS = {
     "trial_rows": """
-        SELECT l_linenumber * 10 + flag AS trial_no, l_linenumber * 4 AS rank, CAST(flag AS DOUBLE) / 4 AS reg_param,
+        SELECT 'run-1' AS run_id, l_linenumber * 10 + flag AS trial_no, l_linenumber * 4 AS rank, CAST(flag AS DOUBLE) / 4 AS reg_param,
                10 AS max_iter, round(sqrt(avg((l_quantity - 25) * (l_quantity - 25))), 9) AS rmse
         FROM (SELECT *, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS flag FROM lineitem)
         GROUP BY l_linenumber, flag"""
@@ -607,16 +607,64 @@ oracle(
 )
 oracle(
     "stream_feedback_sink",
-    "SELECT DISTINCT user_id, item_id, ts FROM feedback WHERE rating BETWEEN 0.5e0 AND 5.0e0",
+    """SELECT user_id, item_id, max(rating) AS rating, ts, true AS accepted FROM feedback
+       WHERE rating BETWEEN 0.5e0 AND 5.0e0 GROUP BY user_id, item_id, ts
+       UNION ALL
+       SELECT user_id, item_id, rating, ts, false FROM feedback WHERE NOT coalesce(rating BETWEEN 0.5e0 AND 5.0e0, false)""",
 )
+# What is certain of a fitted model, whose factors differ from one partitioning to the next.
 oracle(
     "als_fit",
-    """SELECT DISTINCT 'user' AS kind, user_id AS id, CAST(8 AS BIGINT) AS factors, true AS nonnegative FROM train
-       UNION ALL SELECT DISTINCT 'item', item_id, 8, true FROM train""",
+    """SELECT DISTINCT 'user' AS kind, user_id AS id, CAST(20 AS BIGINT) AS factors, true AS nonnegative FROM train
+       UNION ALL SELECT DISTINCT 'item', item_id, 20, true FROM train""",
+)
+oracle(
+    "load_als_model",
+    """SELECT DISTINCT 'user' AS kind, user_id AS id, CAST(20 AS BIGINT) AS factors FROM train
+       UNION ALL SELECT DISTINCT 'item', item_id, 20 FROM train""",
+)
+oracle(
+    "als_predict",
+    """SELECT user_id, item_id, rating, true AS sound FROM test
+       WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)""",
+)
+_PER_USER = """SELECT DISTINCT user_id, least(50, (SELECT count(DISTINCT item_id) FROM train)) AS candidates,
+                      least(50, (SELECT count(DISTINCT item_id) FROM train)) AS items, 0::BIGINT AS without_score FROM train"""
+oracle("als_candidates_all", _PER_USER)
+oracle("als_candidates_subset", _PER_USER + " WHERE user_id IN (SELECT user_id FROM test)")
+oracle(
+    "als_enriched",
+    """SELECT DISTINCT user_id, least(50, (SELECT count(DISTINCT item_id) FROM train)) AS candidates, 0::BIGINT AS different
+       FROM train""",
+)
+oracle(
+    "serve_als_legacy",
+    """SELECT r.request_id, r.user_id,
+              CASE WHEN r.route = 'hybrid' THEN 'hybrid' WHEN r.has_history AND m.user_id IS NOT NULL THEN 'als_legacy'
+                   ELSE 'fallback' END AS route,
+              CASE WHEN r.route <> 'hybrid' AND r.has_history AND m.user_id IS NOT NULL
+                     THEN least(r.top_n, 20, (SELECT count(DISTINCT item_id) FROM train))
+                   ELSE coalesce(n.recommended, 0) END AS recommended
+       FROM routed r LEFT JOIN (SELECT DISTINCT user_id FROM train) m USING (user_id)
+       LEFT JOIN (SELECT request_id, count(*) AS recommended FROM rec_rows GROUP BY request_id) n USING (request_id)""",
+    SERVING,
+)
+oracle(
+    "als_grid",
+    """SELECT CAST(row_number() OVER (ORDER BY rank, reg_param, max_iter) AS INT) AS trial_no, rank, reg_param, max_iter,
+              true AS sound, true AS best_is_lowest
+       FROM (VALUES (16), (32)) a (rank), (VALUES (0.05e0), (0.1e0)) b (reg_param), (VALUES (10), (15)) c (max_iter)""",
+)
+oracle(
+    "save_model_version",
+    "SELECT true AS named, true AS newest, true AS distinct_paths, count(DISTINCT user_id) AS users FROM train",
 )
-oracle("load_als_model", "SELECT DISTINCT user_id, CAST(8 AS BIGINT) AS factors FROM train")
+oracle("hybrid_precomputed_als", "SELECT 0::BIGINT AS gaps, 0::BIGINT AS outside, 0::BIGINT AS seen")
+oracle("hybrid_ranking_eval_als", "SELECT 10::BIGINT AS k, true AS precision_at_k, true AS recall_at_k, true AS ndcg_at_k")
 oracle(
     "retrain_job",
-    f"SELECT {FALLBACK_SHOWN} FROM fb_all",
-    fallback("merged", 10),
+    """SELECT fallback_type, genre, CAST(rank AS BIGINT) AS rank, CAST(item_id AS BIGINT) AS value FROM fb_all
+       UNION ALL SELECT 'trials', NULL, 0, 8 UNION ALL SELECT 'metrics', NULL, 0, 1
+       UNION ALL SELECT 'models', NULL, 0, 1 UNION ALL SELECT 'violations', NULL, 0, 0""",
+    fallback("merged", 20),
 )
