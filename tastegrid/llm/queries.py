@@ -14,6 +14,7 @@ from tastegrid.llm.mixture import source_mix
 from tastegrid.llm.pii import pii_digest
 from tastegrid.llm.repetition import repetition_digest
 from tastegrid.llm.sharding import shuffled_shards
+from tastegrid.llm.sql import NEAR_DUPLICATES, VECTOR_LINKS
 from tastegrid.llm.toxicity import toxicity_digest
 
 
@@ -66,5 +67,19 @@ def _bounded(query):
     return run
 
 
-QUERIES = {f.__name__: _bounded(f) for f in (op1_minhash_near_duplicates, op2_external_shuffle, op3_metric_range_join, op4_pii_bootstrap, op5_bpe_automaton, op6_lattice_likelihood, op7_language_hierarchy, op8_toxicity_automaton, op9_source_mix, op10_suffix_repetition)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    query.__name__: _bounded(query)
+    for query in (
+        op1_minhash_near_duplicates,
+        op2_external_shuffle,
+        op3_metric_range_join,
+        op4_pii_bootstrap,
+        op5_bpe_automaton,
+        op6_lattice_likelihood,
+        op7_language_hierarchy,
+        op8_toxicity_automaton,
+        op9_source_mix,
+        op10_suffix_repetition,
+    )
+}
+SQL = {"op1_minhash_near_duplicates": NEAR_DUPLICATES, "op3_metric_range_join": VECTOR_LINKS}

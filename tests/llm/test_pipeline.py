@@ -66,3 +66,11 @@ def test_registration():
     assert len([n for n in QUERIES if n.startswith("op")]) == 10
     assert {*QUERIES, "pipeline"} <= set(contract.queries())
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "near_duplicates", "personal_data", "source_mix", "tokens"]
+
+
+def test_queries_against_sql(spark, duck, small_dir):
+    for name, sql in contract.oracle_sql().items():
+        if name in QUERIES:
+            result = duck.execute(sql)
+            columns = [c[0] for c in result.description]
+            assert sorted(map(tuple, QUERIES[name](spark, small_dir).select(*columns).collect())) == sorted(result.fetchall()), name
