@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tastegrid.operators.gates import accepted_rows, event_gate, rating_gate, rejected_rows
+from tastegrid.operators.gates import accepted_rows, event_gate, rating_gate, rating_to_event, rejected_rows
 from tastegrid.schemas import EVENTS, RATINGS
 
 EVENT_COLUMNS = EVENTS.names
@@ -81,3 +81,11 @@ def stream_feedback_sink(
         _file_sink(accepted_rows(gated), path, f"{checkpoint}/accepted", None, once),
         _file_sink(rejected_rows(gated), rejected_path, f"{checkpoint}/rejected", None, once),
     )
+
+
+def stream_rating_events(
+    feedback: DataFrame, path: str, rejected_path: str, checkpoint: str, once: bool = False
+) -> tuple[StreamingQuery, StreamingQuery]:
+    """Store the ``rate`` event that each accepted rating raises; a rating without a time is stamped now, as it is stored."""
+    raised = rating_to_event(stamped_feedback(feedback).drop("accepted"))
+    return stream_event_sink(raised, path, rejected_path, checkpoint, once)

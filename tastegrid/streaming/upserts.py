@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tastegrid.operators.profiles import latest_profile_rating
+from tastegrid.operators.profiles import ensure_item_stub, latest_profile_rating
 
 WRITE_COLUMNS = ("profile_id", "item_id", "rating", "source", "rated_at", "write_no")
 
@@ -34,3 +34,8 @@ def stream_profile_ratings(
 def current_profile_ratings(log: DataFrame) -> DataFrame:
     """The rating table that the change log amounts to."""
     return latest_profile_rating(log)
+
+
+def items_with_stubs(items: DataFrame, log: DataFrame) -> DataFrame:
+    """The catalogue with a placeholder for every item that profiles have rated and it does not list."""
+    return ensure_item_stub(items, log)

@@ -71,6 +71,10 @@ def test_late_ratings_are_kept(spark, tmp_path):
     stored = spark.read.parquet(f"{root}/out")
     assert stored.count() == 3
     assert tuples(feeds.settled_feedback(stored)) == [(1, 1, 4.5, 10000000), (2, 1, 3.0, 9000000)]
+    source = feeds.feedback_source(spark, f"{root}/in")
+    drain(feeds.stream_rating_events(source, f"{root}/events", f"{root}/no_events", f"{root}/event_state", once=True))
+    raised = spark.read.parquet(f"{root}/events").select("user_id", "event_type", F.col("dt").cast("string").alias("dt"))
+    assert tuples(raised) == [(1, "rate", "1970-04-26"), (1, "rate", "1970-04-26"), (2, "rate", "1970-04-15")]
 
 
 def test_days_are_read_from_the_stamp(spark, tmp_path):
@@ -99,3 +103,5 @@ def test_profile_ratings_replay(spark, tmp_path, rows):
     log = spark.read.parquet(f"{root}/log")
     assert log.count() == 3
     assert tuples(upserts.current_profile_ratings(log), "item_id", "rating") == [(1, 2.0), (2, 5.0)]
+    catalogue = rows("item_id int, title string, genres string", (1, "A", "x"))
+    assert tuples(upserts.items_with_stubs(catalogue, log), "item_id", "title") == [(1, "A"), (2, "Unknown")]
