@@ -22,14 +22,13 @@ class ToxicityConfig:
     threshold: float = 0.7
     #: About so many labelled rows, chosen by a hash of their id, fit the lexicon and the weights.
     fit_rows: int = 20_000
-    #: A term needs so many toxic texts, this share of them, and must be so many times as frequent in toxic texts as in clean ones.
+    #: A term needs so many toxic texts and must be so many times as frequent in toxic texts as in clean ones.
     least_support: int = 3
-    least_share: float = 0.01
     least_ratio: float = 8.0
     #: A toxic text is explained once the log ratios of its terms add up to this much.
     explained: float = 40.0
-    #: Terms considered, most frequent first; more would not fit the model that travels with every task.
-    most_terms: int = 5_000
+    #: Terms considered, strongest first: a few megabytes that travel with every task of the fit. The model has the chosen ones only.
+    most_terms: int = 100_000
     #: Stems stand for all words that begin with them.
     stem_letters: tuple[int, int] = (3, 8)
     #: Words on either side of a hit that are searched for quotation.
@@ -266,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
         return ToxicityModel()
     # Rates per text; two clean occurrences more keep rare terms from looking certain.
     ratio = F.log(F.col("toxic") / total["toxic"] / ((F.col("clean") + 2) / max(1, total["clean"])))
-    strong = counts.filter(F.col("texts") >= config.least_share * total["toxic"]).filter("term <> ''").withColumn("ratio", ratio).filter(F.col("ratio") >= math.log(config.least_ratio))
+    strong = counts.filter("term <> ''").withColumn("ratio", ratio).filter(F.col("ratio") >= math.log(config.least_ratio))
     best_first = strong.orderBy(F.desc(F.col("ratio") * F.col("toxic")), "term").limit(config.most_terms)
     ratios = {r["term"]: r["ratio"] for r in best_first.collect()}
 
@@ -322,7 +321,7 @@ def _cover(covers: list[list[tuple[str, int]]], ratios: dict[str, float], config
     chosen: dict[str, float] = {}
     while gain:
         best = max(gain, key=lambda t: (round(gain[t], 6), t[-1] != "*", len(t), t))
-        if gain[best] < config.least_support * UNIT:
+        if gain[best] < config.least_support * math.log(config.least_ratio):
             break
         chosen[best] = ratios[best]
         for i, value in places[best]:

@@ -154,6 +154,20 @@ def test_held_out_toxicity(spark):
     assert all(r.held_out == (remainder(r.doc_id, 3) == 1) and r.predicted == (r.score >= 0.7) for r in got.values())
 
 
+def test_rare_toxic_terms_are_learned(spark, docs):
+    rng = random.Random(3)
+    plain = [f"{a}{b}" for a in ("bal", "tor", "min", "sul", "ker") for b in ("do", "ra", "ti", "nu", "pe", "lo")]
+    ids = iter(i for i in range(100_000) if remainder(i, 3) != 1)
+    rows, labels = [], []
+    for n, toxic, term in ((600, 1, "grobian"), (4, 1, "zwrglbt"), (4_000, 0, "")):
+        for _ in range(n):
+            i = next(ids)
+            rows.append((i, " ".join([*rng.choices(plain, k=6), term])))
+            labels.append((i, toxic))
+    learned = toxicity.fit(docs(*rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"grobian", "zwrglbt"} <= set(learned.terms)
+
+
 @pytest.fixture
 def model():
     weights = {"base": toxicity.BASE, **toxicity.KINDS, "length": 0.0}
