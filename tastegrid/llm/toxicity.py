@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -263,20 +264,21 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     total = counts.filter("term = ''").head()
     if total is None:
         return ToxicityModel()
-    # Rates per text; two clean occurrences more keep rare terms from looking certain.
-    ratio = F.log(F.col("toxic") / total["toxic"] / ((F.col("clean") + 2) / max(1, total["clean"])))
+    totals = (total["toxic"], total["clean"])
+    # As in _log_ratio.
+    ratio = F.log(F.col("toxic") / totals[0] / ((F.col("clean") + 2) / max(1, totals[1])))
     strong = counts.filter("term <> ''").withColumn("ratio", ratio).filter(F.col("ratio") >= math.log(config.least_ratio))
     best_first = strong.orderBy(F.desc(F.col("ratio") * F.col("toxic")), "term").limit(config.most_terms)
-    ratios = {r["term"]: r["ratio"] for r in best_first.collect()}
+    found_counts = {r["term"]: (r["toxic"], r["clean"]) for r in best_first.collect()}
 
     def candidates_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t for t, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()) if y]
-            found = [[(t, n) for t, n in _counts(t, config).items() if t in ratios] for t in texts]
+            found = [[(t, n) for t, n in _counts(t, config).items() if t in found_counts] for t in texts]
             yield pa.RecordBatch.from_pydict({"terms": [[t for t, _ in f] for f in found], "times": [[n for _, n in f] for f in found]}, _COVER)
 
     covers = [list(zip(r["terms"], r["times"])) for r in rows.mapInArrow(candidates_of, "terms array<string>, times array<long>").collect()]
-    model = ToxicityModel(_cover(covers, ratios, config))
+    model = ToxicityModel(_cover(covers, found_counts, totals, config))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model, config.window)
@@ -308,33 +310,68 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
 _COVER = pa.schema([("terms", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
 
 
-def _cover(covers: list[list[tuple[str, int]]], ratios: dict[str, float], config: ToxicityConfig) -> dict[str, float]:
-    """Terms that explain the toxic texts, greedily; of equals a whole word, then the longest."""
+def _log_ratio(toxic: float, clean: float, totals: tuple[int, int]) -> float:
+    """Log ratio of the rates per text; two clean occurrences more keep rare terms from looking certain."""
+    return math.log(toxic / totals[0] / ((clean + 2) / max(1, totals[1]))) if toxic > 0 else -math.inf
+
+
+def _cover(covers: list[list[tuple[str, int]]], counts: dict[str, tuple[int, int]], totals: tuple[int, int], config: ToxicityConfig) -> dict[str, float]:
+    """Terms that explain the toxic texts, greedily; of equals a whole word, then the longest.
+
+    ``counts`` has each candidate's occurrences in toxic and clean texts, ``totals`` the texts. A chosen stem stands for
+    its continuations, which are dropped. What a chosen term hits is taken from the stems that begin it, as a word has
+    one hit, and they stay with the ratio of the rest if it is enough; every other form keeps what it explains itself.
+    Gains only shrink, so that a heap whose entries are brought up to date when they come first gives the best term.
+    """
+    counts = dict(counts)
+    ratios = {t: _log_ratio(*n, totals) for t, n in counts.items()}
     need = [config.explained] * len(covers)
+    times = [dict(cover) for cover in covers]
     gain: Counter = Counter()
-    places: dict[str, list[tuple[int, float]]] = {}
-    for i, cover in enumerate(covers):
-        for term, n in cover:
-            value = ratios[term] * min(n, 3)
-            places.setdefault(term, []).append((i, value))
-            gain[term] += min(value, need[i])
+    places: dict[str, list[int]] = {}
+    for i, cover in enumerate(times):
+        for term, n in cover.items():
+            places.setdefault(term, []).append(i)
+            gain[term] += min(ratios[term] * min(n, 3), need[i])
+    rank = {t: k for k, t in enumerate(sorted(gain, key=lambda t: (t[-1] != "*", len(t), t), reverse=True))}
+    heap = [(-round(g, 6), rank[t], t) for t, g in gain.items()]
+    heapq.heapify(heap)
     chosen: dict[str, float] = {}
-    while gain:
-        best = max(gain, key=lambda t: (round(gain[t], 6), t[-1] != "*", len(t), t))
+    stems: set[str] = set()
+    while heap:
+        was, _, best = heapq.heappop(heap)
+        name = best.rstrip("*")
+        if best not in gain:
+            continue
+        if any(name[:k] in stems for k in range(1, len(name) + 1)):
+            del gain[best]
+            continue
+        if round(gain[best], 6) < -was:
+            heapq.heappush(heap, (-round(gain[best], 6), rank[best], best))
+            continue
         if gain[best] < config.least_support * math.log(config.least_ratio):
             break
         chosen[best] = ratios[best]
-        for i, value in places[best]:
-            left = max(0.0, need[i] - value)
-            for term, n in covers[i]:
+        del gain[best]
+        if best[-1] == "*":
+            stems.add(name)
+        beginnings = {name[:k] + "*" for k in range(1, len(name) + (best[-1] != "*"))} & gain.keys()
+        before = {t: ratios[t] for t in beginnings}
+        for term in beginnings:
+            counts[term] = tuple(max(0, a - b) for a, b in zip(counts[term], counts[best]))
+            ratios[term] = min(ratios[term], _log_ratio(*counts[term], totals))
+            if ratios[term] < math.log(config.least_ratio):
+                del gain[term]
+        touched = {i for t in (best, *(beginnings & gain.keys())) for i in places[t]}
+        for i in sorted(touched):
+            hit = times[i].get(best, 0)
+            left = max(0.0, need[i] - chosen[best] * min(hit, 3))
+            for term, n in times[i].items():
                 if term in gain:
-                    own = ratios[term] * min(n, 3)
-                    gain[term] += min(own, left) - min(own, need[i])
+                    rest = max(0, n - hit) if term in beginnings else n
+                    gain[term] += min(ratios[term] * min(rest, 3), left) - min(before.get(term, ratios[term]) * min(n, 3), need[i])
+                    times[i][term] = rest
             need[i] = left
-        # Its own beginnings and continuations say the same again.
-        name = best.rstrip("*")
-        for term in [t for t in gain if name.startswith(t.rstrip("*")) or t.startswith(name)]:
-            del gain[term]
     return chosen
 
 

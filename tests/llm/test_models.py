@@ -168,6 +168,18 @@ def test_rare_toxic_terms_are_learned(spark, docs):
     assert {"grobian", "zwrglbt"} <= set(learned.terms)
 
 
+def test_other_forms_of_a_chosen_word_stay():
+    texts = [[("moron", 1), ("mor*", 1)]] * 50 + [[("moronic", 1), ("moron*", 1), ("mor*", 1)]] * 10
+    texts += [[("idiotic", 1), ("idiot*", 1)]] * 20 + [[("idiot", 1)]] * 6 + [[("achlich*", 1), ("achlicher", 1)]] * 9 + [[("achlich*", 1)]] * 9
+    counts = Counter()
+    for text in texts:
+        counts.update(dict(text))
+    counts = {t: (n, 60 if t == "mor*" else 0) for t, n in counts.items()}
+    chosen = toxicity._cover(texts, counts, (len(texts), 1000), toxicity.ToxicityConfig())
+    # Every form is chosen itself or stands under a chosen stem; what the words leave of mor* is not enough.
+    assert {"moron", "moronic", "idiotic", "idiot", "achlich*"} == set(chosen)
+
+
 @pytest.fixture
 def model():
     weights = {"base": toxicity.BASE, **toxicity.KINDS, "length": 0.0}
