@@ -51,8 +51,8 @@ _QUOTES = frozenset("\"“”„«»‹›‘’'")
 
 
 def edits_allowed(term: str) -> int:
-    """Misspellings looked for: none in short terms, one edit from five letters on, two from nine on."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    """Misspellings looked for: none below four letters, one edit from four on, two from nine on."""
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
 class LexiconAutomaton:

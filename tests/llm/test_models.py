@@ -180,6 +180,12 @@ def test_other_forms_of_a_chosen_word_stay():
     assert {"moron", "moronic", "idiotic", "idiot", "achlich*"} == set(chosen)
 
 
+def test_short_terms_have_misspellings(docs):
+    weights = {"base": toxicity.BASE, **toxicity.KINDS, "length": 0.0}
+    matcher = toxicity.Matcher(toxicity.ToxicityModel({"scum": 6.0, "ass": 6.0}, {"scam"}, weights), 8)
+    assert [h[0] for h in matcher.hits("scumm scvm scum scam sccvm as")] == ["misspelled", "misspelled", "word"]
+
+
 @pytest.fixture
 def model():
     weights = {"base": toxicity.BASE, **toxicity.KINDS, "length": 0.0}
