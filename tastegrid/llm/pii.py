@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +32,10 @@ BASE = {
 #: What a text must contain for a pattern to be tried.
 SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: A run of neighbouring words that hold a digit or an at sign: what an unseen identifier may look like.
-RUN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:[\x20\t][^\s0-9@]*+[0-9@]\S*+)*+"
+#: A word that holds a digit, an at sign or a written-out one: what an unseen identifier may consist of.
+MARKED = r"(?<!\S)(?:[^\s0-9@(\[]++|[(\[](?!at[)\]]))*+(?:[0-9@]|[(\[]at[)\]])\S*+"
+#: Words of the longest written form of a kind: a card's 19 digits, each alone.
+LONGEST = 19
 
 
 def _digits(match: Column) -> Column:
@@ -124,7 +125,7 @@ def _written(spans: Column) -> Column:
 
 
 def _core(run: Column) -> Column:
-    """A run without the punctuation around it."""
+    """A stretch without the punctuation around it."""
     return F.regexp_replace(run, r"^[\"'\[{<,;:]+|[\"'\]}>.,;:!?]+$", "")
 
 
@@ -140,22 +141,51 @@ def _looks_like(kind: str, core: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, key: list[str], text: str) -> DataFrame:
-    """Runs that look like identifiers, with their place, their kind if a base pattern covers them, and their context."""
-    has = docs.filter(F.col(text).rlike("[0-9@]"))
-    runs = has.select(*key, F.split(F.col(text), RUN, -1).alias("gaps"), matches(F.col(text), RUN).alias("runs"))
-    rows = runs.select(*key, "gaps", F.posexplode("runs").alias("i", "run"))
-    # The words around a run: of its neighbouring stretches only the nearest end is looked at.
-    left = F.regexp_extract(F.right(F.element_at("gaps", F.col("i") + 1), F.lit(64)), r"(\S+)\s*$", 1)
-    right = F.regexp_extract(F.left(F.element_at("gaps", F.col("i") + 2), F.lit(64)), r"^\s*(\S+)", 1)
-    rows = rows.select(*key, F.col("run.start").alias("start"), F.col("run.match").alias("run"), left.alias("left"), right.alias("right"))
+    """Stretches of marked words that look like identifiers, with their place, their kind if they are a base span, and
+    their context. Stretches that share letters with a base span but are none are no instances."""
+    has = docs.filter(F.col(text).rlike(r"[0-9@]|[(\[]at[)\]]"))
+    spans = _merged({k: base_spans(F.col(text), k) for k in BASE})
+    found = has.select(*key, spans.alias("base"), F.split(F.col(text), MARKED, -1).alias("gaps"), matches(F.col(text), MARKED).alias("words"))
+    # Of the gaps the words beside them, and whether it is a single blank.
+    gap = lambda g: F.struct((g == " ").alias("blank"), F.regexp_extract(g, r"(?<!\S)(\S++)\s*+$", 1).alias("left"), F.regexp_extract(g, r"^\s*+(\S++)", 1).alias("right"))
+    found = found.select(*key, "base", "words", F.transform("gaps", gap).alias("gaps"))
+    # Only words of digits and their punctuation go on: no kind has a blank beside a letter.
+    goes_on = lambda w: w["match"].rlike(r"^[\"'\[{<,;:]*+[0-9 ().+-]++$")
+
+    def reach(w: Column, i: Column) -> Column:
+        """The word and those that may follow it in a stretch, each with the gap after it and the marked word beyond."""
+        size = F.when(goes_on(w) & F.get(F.col("gaps"), i + 1)["blank"], F.lit(LONGEST + 1)).otherwise(F.lit(2))
+        before = F.when(i > 0, F.get(F.col("words"), i - 1)["match"])
+        left = F.get(F.col("gaps"), i)["left"]
+        return F.struct(
+            w["start"].alias("start"),
+            F.when(left != "", left).otherwise(F.regexp_replace(F.coalesce(before, F.lit("")), r"^.*\s", "")).alias("left"),
+            F.slice("words", i + 1, size)["match"].alias("words"),
+            F.slice("gaps", i + 2, size).alias("gaps"),
+        )
+
+    rows = found.select(*key, "base", F.explode(F.transform("words", reach)).alias("w")).select(*key, "base", "w.*")
+
+    def stretch(n: Column) -> Column:
+        beyond = F.coalesce(F.get(F.col("words"), n), F.lit(""))
+        right = F.get(F.col("gaps"), n - 1)["right"]
+        joined = (n == 1) | F.forall(F.slice("gaps", 1, n - 1), lambda g: g["blank"])
+        run = F.array_join(F.slice("words", 1, n), " ")
+        return F.when(joined, F.struct(run.alias("run"), F.when(right != "", right).otherwise(beyond).alias("right")))
+
+    lengths = F.sequence(F.lit(1), F.when(F.size("words") > 2, F.least(F.size("words"), F.lit(LONGEST))).otherwise(F.when((F.size("words") == 2) & F.get(F.col("gaps"), F.lit(0))["blank"], 2).otherwise(1)))
+    rows = rows.select(*key, "base", "start", "left", F.explode(F.filter(F.transform(lengths, stretch), lambda s: s.isNotNull())).alias("s"))
+    rows = rows.select(*key, "base", "start", "left", F.col("s.run").alias("run"), F.col("s.right").alias("right"))
     rows = rows.withColumn("core", _core(F.col("run"))).filter("core <> ''")
-    rows = rows.withColumn("start", F.col("start") + F.instr("run", F.col("core")) - 1)
-    whole = {k: F.col("core").rlike("^(?:" + p.replace(r"\G|", "") + ")$") & _valid(k, F.col("core")) for k, p in BASE.items()}
-    known = F.coalesce(*[F.when(whole[k], F.lit(k)) for k in BASE])
+    rows = rows.withColumn("start", F.col("start") + F.instr("run", F.col("core")) - 1).withColumn("end", F.col("start") + F.length("core"))
+    # A generator of one row: no filter is pushed below it, so that places are not computed for each base span again.
+    rows = rows.select(*key, "base", "left", "right", F.explode(F.array(F.struct("core", "start", "end"))).alias("p")).select(*key, "base", "left", "right", "p.*")
+    kinds = F.array(*[F.lit(k) for k in BASE])
+    same = F.get(F.filter("base", lambda b: (b["start"] == F.col("start")) & (b["end"] == F.col("end"))), F.lit(0))
+    touched = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
     like = F.filter(F.array(*[F.when(_looks_like(k, F.col("core")), F.lit(k)) for k in BASE]), lambda k: k.isNotNull())
-    touched = reduce(lambda a, b: a | b, [F.regexp_count(F.col("core"), F.lit(p)) > 0 for k, p in BASE.items() if k in ("email", "ip")])
-    rows = rows.withColumn("known", known).withColumn("like", F.when(F.col("known").isNull() & ~touched, like))
-    # Lexical patterns: the word before, the word after, and the written form of the run's last two words.
+    rows = rows.withColumn("known", F.get(kinds, same["kind"])).withColumn("like", F.when(~touched, like)).filter("known IS NOT NULL OR size(like) > 0")
+    # Lexical patterns: the word before, the word after, and the written form of the stretch's last two words.
     form = F.regexp_replace(F.regexp_extract("core", r"(\S+\s)?\S+$", 0), "[0-9]", "0")
     form = F.regexp_replace(form, "[A-Za-z]+", "a")
     patterns = F.array(
@@ -163,9 +193,7 @@ def occurrences(docs: DataFrame, key: list[str], text: str) -> DataFrame:
         F.when(F.col("right") != "", F.concat(F.lit("r:"), F.lower("right"))),
         F.concat(F.lit("f:"), form),
     )
-    return rows.select(*key, "start", (F.col("start") + F.length("core")).alias("end"), F.lower("core").alias("core"), "known", "like", F.filter(patterns, lambda p: p.isNotNull()).alias("patterns")).filter(
-        "known IS NOT NULL OR size(like) > 0"
-    )
+    return rows.select(*key, "start", "end", F.lower("core").alias("core"), "known", "like", F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"))
 
 
 def bootstrap(seen: DataFrame, config: PiiConfig) -> DataFrame:
@@ -210,6 +238,9 @@ def find(docs: DataFrame, config: PiiConfig = PiiConfig(), text: str = "text", i
     number = (F.array_position(kinds, F.col("kind")) - 1).cast("int")
     spans = seen.filter("known IS NULL").join(found, "core").select("id", "h", F.struct("start", number.alias("kind"), "end").alias("span")).distinct()
     per_text = spans.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_list("span").alias(extra))
+    # Of stretches of a kind that lie in each other the longest.
+    longer = lambda e, o: (o["kind"] == e["kind"]) & (o["start"] <= e["start"]) & (e["end"] <= o["end"]) & (o != e)
+    per_text = per_text.withColumn(extra, F.filter(extra, lambda e: ~F.exists(extra, lambda o: longer(e, o))))
     per_text = per_text.withColumnsRenamed({"_id": fresh(docs.columns, "extra_id"), "_h": fresh(docs.columns, "extra_h")})
     key, key_hash = per_text.columns[:2]
     value = F.coalesce(F.col(text), F.lit(""))

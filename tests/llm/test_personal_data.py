@@ -69,6 +69,15 @@ def test_contexts_give_unseen_identifiers_away(docs):
     assert spans[100] == "phone:12:26" and spans[101] == "" and spans[102] == ""
 
 
+def test_written_out_addresses_and_stretches_of_a_run(docs):
+    rng = random.Random(4)
+    rows = [(i, f"write to user{chr(97 + i)}@host.example today, thing {i}") for i in range(12)]
+    rows += [(20 + i, f"please call +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} soon, thing {i}") for i in range(12)]
+    rows += [(100, "write to jane.doe(at)example.com today, thing"), (101, "please call 12b (415) 555-2671 soon, thing"), (102, "see (at) 12 3456 of 7")]
+    spans = {r.doc_id: r.spans for r in pii_digest(docs(*rows)).collect()}
+    assert spans[100] == "email:9:32" and spans[101] == "phone:16:30" and spans[102] == ""
+
+
 def test_redaction(docs):
     table = docs((1, "é mail a.b@c.example, ip 10.0.0.1; card 4111 1111 1111 1111 or +1 212 555 0100!"), (2, "nothing here 12"), (3, None))
     texts = {r.doc_id: r.text for r in redact(find(table)).collect()}
