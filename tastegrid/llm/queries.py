@@ -9,12 +9,13 @@ from tastegrid.llm.common import bounded_batches, documents
 from tastegrid.llm.embedding import range_join
 from tastegrid.llm.language import language_digest
 from tastegrid.llm.lattice import score
+from tastegrid.llm.merkle import merkle_digest
 from tastegrid.llm.minhash import near_duplicate_digest
 from tastegrid.llm.mixture import source_mix
 from tastegrid.llm.pii import pii_digest
 from tastegrid.llm.repetition import repetition_digest
 from tastegrid.llm.sharding import shuffled_shards
-from tastegrid.llm.sql import NEAR_DUPLICATES, VECTOR_LINKS
+from tastegrid.llm.sql import MERKLE, NEAR_DUPLICATES, VECTOR_LINKS
 from tastegrid.llm.toxicity import toxicity_digest
 
 
@@ -58,6 +59,10 @@ def op10_suffix_repetition(spark, sf_dir):
     return repetition_digest(documents(spark, sf_dir))
 
 
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle_digest(documents(spark, sf_dir))
+
+
 def _bounded(query):
     @functools.wraps(query)
     def run(spark, sf_dir):
@@ -80,6 +85,11 @@ QUERIES = {
         op8_toxicity_automaton,
         op9_source_mix,
         op10_suffix_repetition,
+        op13_merkle_manifest,
     )
 }
-SQL = {"op1_minhash_near_duplicates": NEAR_DUPLICATES, "op3_metric_range_join": VECTOR_LINKS}
+SQL = {
+    "op1_minhash_near_duplicates": NEAR_DUPLICATES,
+    "op3_metric_range_join": VECTOR_LINKS,
+    "op13_merkle_manifest": MERKLE,
+}

@@ -47,3 +47,81 @@ WITH RECURSIVE
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, vec_id = coalesce(root, vec_id) AS kept
 FROM embeddings LEFT JOIN lowest ON id = vec_id LEFT JOIN counts ON a = vec_id
 """
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text: each byte enters the register, which then takes eight steps."""
+    bits = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ord({text}[i]), 0, 0, 0, 0, 0, 0, 0]))"
+    step = "CASE WHEN xor(c, x) % 2 = 1 THEN xor(xor(c, x) // 2, 3988292384) ELSE xor(c, x) // 2 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}::BIGINT[]), lambda c, x: {step}), 4294967295::BIGINT)"
+
+
+def _field(name: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({name} AS VARCHAR)) AS VARCHAR) || ':' || CAST({name} AS VARCHAR), '-')"
+
+
+_SMALL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RECORD = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_TAMPERED = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _field(_SMALL)
+
+
+def _tree(name: str, leaves: str, levels: int) -> tuple[str, str]:
+    """CTEs of the levels over ``leaves`` (``tree, pos, hash``) and the text of the proofs' steps for ``leaves``' places."""
+    parts = [f"{name}_0 AS (SELECT tree, pos, hash, count(*) OVER (PARTITION BY tree) AS n FROM {leaves})"]
+    for k in range(levels):
+        parts.append(
+            f"{name}_runs_{k} AS (SELECT tree, pos // 16 AS run, list(hash ORDER BY pos) AS members, max(n) AS n FROM {name}_{k} GROUP BY ALL)"
+        )
+        parts.append(
+            f"{name}_{k + 1} AS (SELECT tree, run AS pos, CASE WHEN n > 1 THEN sha256(array_to_string(members, '')) ELSE members[1] END AS hash,"
+            f" (n + 15) // 16 AS n FROM {name}_runs_{k})"
+        )
+    return ",\n  ".join(parts), f"{name}_{levels}"
+
+
+def _siblings(name: str, levels: int, at: str, tree: str) -> tuple[str, str]:
+    """Joins that bring the runs above a place, and the list of ``(slot, members of the run)`` from them."""
+    joins, steps = [], []
+    for k in range(levels):
+        joins.append(f"JOIN {name}_runs_{k} AS {name}{k} ON {name}{k}.tree = {tree} AND {name}{k}.run = {at} // {16 ** (k + 1)}")
+        steps.append(f"CASE WHEN {name}{k}.n > 1 THEN [{{'slot': {at} // {16 ** k} % 16, 'members': {name}{k}.members}}] ELSE [] END")
+    return "\n    ".join(joins), "list_concat(" + ", ".join([*steps, "[]"]) + ")"
+
+
+_LEVELS, _TRUNK = 6, 4
+_SUBTREES, _TOPS = _tree("subtree", "leaves", _LEVELS)
+_TRUNKS, _TOP = _tree("trunk", "heads", _TRUNK)
+_SUBTREE_JOINS, _SUBTREE_STEPS = _siblings("subtree", _LEVELS, "l.pos", "l.tree")
+_TRUNK_JOINS, _TRUNK_STEPS = _siblings("trunk", _TRUNK, "h.pos", "0")
+_OTHERS = "array_to_string(list_concat(s.members[:s.slot], s.members[s.slot + 2:]), '')"
+_FOLD = "sha256(array_to_string(list_concat(a.members[:a.slot], [h], a.members[a.slot + 2:]), ''))"
+
+#: Six levels of a subtree and four of the trunk: as many leaves a source as 16 to the sixth, 16 to the fourth sources.
+MERKLE = f"""
+WITH
+  records AS (
+    SELECT doc_id, source, {_field("source")} AS tree, sha256({_RECORD}) AS hash,
+           CASE WHEN doc_id IS NOT NULL AND {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN sha256({_TAMPERED}) END AS altered
+    FROM documents),
+  leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, hash) - 1 AS pos FROM records),
+  {_SUBTREES},
+  sources AS (SELECT DISTINCT tree, source FROM records),
+  heads AS (
+    SELECT 0 AS tree, sources.tree AS member, hash, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS pos
+    FROM {_TOPS} JOIN sources ON sources.tree = {_TOPS}.tree),
+  {_TRUNKS},
+  ways AS (
+    SELECT l.doc_id, l.hash AS leaf, h.hash AS subroot, top.hash AS root, coalesce(l.altered, l.hash) AS start,
+           list_concat({_SUBTREE_STEPS}, {_TRUNK_STEPS}) AS steps
+    FROM leaves l
+    {_SUBTREE_JOINS}
+    JOIN heads h ON h.member = l.tree
+    {_TRUNK_JOINS}
+    CROSS JOIN {_TOP} top),
+  folded AS (
+    SELECT * EXCLUDE (start, steps), sha256(array_to_string(list_transform(steps, lambda s: {_OTHERS}), '')) AS proof_sha256,
+           list_reduce(list_prepend({{'slot': 0, 'members': [start]}}, steps),
+                       lambda acc, a: {{'slot': 0, 'members': [{_FOLD.replace('[h]', '[acc.members[1]]')}]}}).members[1] AS folded_root
+    FROM ways)
+SELECT *, folded_root = root AS verified FROM folded
+"""
