@@ -14,9 +14,11 @@ from tastegrid.llm.minhash import near_duplicate_digest
 from tastegrid.llm.mixture import source_mix
 from tastegrid.llm.pii import pii_digest
 from tastegrid.llm.repetition import repetition_digest
+from tastegrid.llm.secrets import secret_digest
 from tastegrid.llm.sharding import shuffled_shards
-from tastegrid.llm.sql import MERKLE, NEAR_DUPLICATES, VECTOR_LINKS
+from tastegrid.llm.sql import MERKLE, NEAR_DUPLICATES, PREFIX_TRIE, SECRETS, VECTOR_LINKS
 from tastegrid.llm.toxicity import toxicity_digest
+from tastegrid.llm.trie import prefix_trie
 
 
 def op1_minhash_near_duplicates(spark, sf_dir):
@@ -59,6 +61,14 @@ def op10_suffix_repetition(spark, sf_dir):
     return repetition_digest(documents(spark, sf_dir))
 
 
+def op11_splitter_skeleton(spark, sf_dir):
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_blob_ledger(spark, sf_dir):
+    return secret_digest(documents(spark, sf_dir))
+
+
 def op13_merkle_manifest(spark, sf_dir):
     return merkle_digest(documents(spark, sf_dir))
 
@@ -85,11 +95,15 @@ QUERIES = {
         op8_toxicity_automaton,
         op9_source_mix,
         op10_suffix_repetition,
+        op11_splitter_skeleton,
+        op12_blob_ledger,
         op13_merkle_manifest,
     )
 }
 SQL = {
     "op1_minhash_near_duplicates": NEAR_DUPLICATES,
     "op3_metric_range_join": VECTOR_LINKS,
+    "op11_splitter_skeleton": PREFIX_TRIE,
+    "op12_blob_ledger": SECRETS,
     "op13_merkle_manifest": MERKLE,
 }

@@ -125,3 +125,78 @@ WITH
     FROM ways)
 SELECT *, folded_root = root AS verified FROM folded
 """
+
+#: Paths are written as hex digests of the turns in a row; every node is the smallest member of each of its beginnings.
+PREFIX_TRIE = f"""
+WITH
+  turns AS (
+    SELECT conv_id, turn, coalesce(text, '') AS body, left(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS digest
+    FROM conversations WHERE conv_id IS NOT NULL),
+  own AS (
+    SELECT conv_id, list({{'digest': digest, 'size': strlen(body)}} ORDER BY turn NULLS FIRST, digest) AS turns,
+           {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h
+    FROM turns GROUP BY conv_id),
+  rebuilt AS (
+    SELECT own.conv_id, list_concat(coalesce(base.turns, [])[1:own.h], own.turns[own.h + 1:]) AS turns
+    FROM own LEFT JOIN own base ON base.conv_id = own.conv_id - own.conv_id % 5),
+  written AS (SELECT conv_id, turns, array_to_string(list_transform(turns, lambda t: t.digest), '') AS path FROM rebuilt),
+  cells AS (SELECT conv_id, path, turns, unnest(range(0, len(turns) + 1)) AS depth FROM written),
+  nodes AS (
+    SELECT left(path, 32 * depth) AS key, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+           coalesce(max(turns[depth].size), 0) AS size,
+           coalesce(string_agg(CASE WHEN depth = len(turns) THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ends
+    FROM cells GROUP BY ALL),
+  children AS (SELECT left(key, 32 * (depth - 1)) AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+  counted AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (key)),
+  upward AS (SELECT key, depth, n_convs, size, n_children, unnest(range(0, depth + 1)) AS a FROM counted),
+  sums AS (
+    SELECT left(key, 32 * a) AS key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens
+    FROM upward GROUP BY 1)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(c.ends) AS ends_sha256
+FROM counted c JOIN sums USING (key) LEFT JOIN counted p ON c.depth > 0 AND p.key = left(c.key, 32 * (c.depth - 1)) AND p.depth = c.depth - 1
+"""
+
+_LETTERS = {c: f"[{c.upper()}{c}]" for c in "abcdefghijklmnopqrstuvwxyz"}
+_KEY_WORDS = "|".join("".join(_LETTERS.get(c, c) for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+_QUOTE = "[\"'']?"
+_SECRET_KINDS = [
+    ("assign", rf"({_KEY_WORDS}){_QUOTE}\x20*[:=]\x20*{_QUOTE}([A-Za-z0-9+/_.=-]+)", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]{24,}", 0, 24),
+    ("private_key", "-----BEGIN ([A-Z0-9]+ ){0,4}PRIVATE KEY-----", 0, 1),
+    ("github", r"\bgh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("slack", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("google", r"\bAIza[A-Za-z0-9_-]{35}\b", 0, 1),
+    ("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1),
+    ("url_login", r"://[^\s/:@]+:[^\s/:@]+@", 0, 1),
+]
+
+
+def _secret_spans(kind: int) -> str:
+    """Matches and the stretches between them; the lengths before a match add up to its place."""
+    _, pattern, group, least = _SECRET_KINDS[kind]
+    hits, gaps = f"regexp_extract_all(body, '{pattern}')", f"string_split_regex(body, '{pattern}')"
+    before = "list_sum(list_transform(gaps[:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[:i - 1], lambda h: length(h))), 0)"
+    value = f"length(regexp_extract(hits[i], '{pattern}', {group}))"
+    spans = f"list_transform(range(1, len(hits) + 1), lambda i: {{'start': CAST({before} AS BIGINT), 'kind': {kind}, 'stop': CAST({before} + length(hits[i]) AS BIGINT), 'fits': {value} >= {least}}})"
+    return f"SELECT n, list_filter({spans}, lambda s: s.fits) AS spans FROM (SELECT n, {hits} AS hits, {gaps} AS gaps FROM texts)"
+
+
+_ALL_SPANS = " UNION ALL ".join(_secret_spans(k) for k in range(len(_SECRET_KINDS)))
+_KINDS = "[" + ", ".join(f"'{k}'" for k, *_ in _SECRET_KINDS) + "]"
+_WRITTEN = f"list_transform(SPANS, lambda s: {_KINDS}[s.kind + 1] || ':' || s.start || ':' || s.stop)"
+
+#: Pattern by pattern; the word borders of the further kinds differ from the operator's only beside letters that are not ASCII.
+SECRETS = f"""
+WITH
+  texts AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS body FROM documents),
+  found AS ({_ALL_SPANS}),
+  joined AS (SELECT n, list_sort(flatten(list(spans))) AS spans FROM found GROUP BY n),
+  split AS (SELECT *, list_filter(spans, lambda s: s.kind < 3) AS base FROM joined JOIN texts USING (n))
+SELECT doc_id, CAST(len(list_filter(base, lambda s: s.kind = 0)) AS BIGINT) AS n_assign,
+       CAST(len(list_filter(base, lambda s: s.kind = 1)) AS BIGINT) AS n_access, CAST(len(list_filter(base, lambda s: s.kind = 2)) AS BIGINT) AS n_hex,
+       sha256(array_to_string({_WRITTEN.replace("SPANS", "base")}, ',')) AS base_sha256,
+       array_to_string({_WRITTEN.replace("SPANS", "spans")}, ',') AS spans
+FROM split
+"""
