@@ -82,3 +82,44 @@ def item_row_counts(raw: DataFrame) -> DataFrame:
 
 def clean_stats(raw_ratings: DataFrame, raw_items: DataFrame) -> DataFrame:
     return rating_row_counts(raw_ratings).unionByName(item_row_counts(raw_items))
+
+
+# Cleaning and counting in one pass -----------------------------------------------------------------------------------
+
+
+def rating_groups(raw: DataFrame) -> DataFrame:
+    """Each (user, item, ts) with its highest rating and how many rows it stands for; unusable rows are one group.
+
+    Clean rows (``cleaned_ratings``) and counts (``group_counts``) both follow from the groups, so a raw file that is read
+    once gives both, and counts are data, which running a task again does not change.
+    """
+    typed = _typed(raw, RATINGS).withColumn("usable", _usable_rating(require_ts=True))
+    masked = typed.select("usable", *[F.when(F.col("usable"), F.col(c)).alias(c) for c in RATINGS.names])
+    return masked.groupBy("usable", *RATING_KEY).agg(F.max("rating").alias("rating"), F.count("*").alias("rows"))
+
+
+def item_groups(raw: DataFrame) -> DataFrame:
+    """Each item with its smallest (title, genres) and its number of rows; incomplete rows are one group."""
+    complete = F.col("item_id").isNotNull() & F.col("title").isNotNull() & F.col("genres").isNotNull()
+    typed = _typed(raw, ITEMS).withColumn("usable", complete)
+    masked = typed.select("usable", *[F.when(F.col("usable"), F.col(c)).alias(c) for c in ITEMS.names])
+    return masked.groupBy("usable", "item_id").agg(F.min(F.struct("title", "genres")).alias("kept"), F.count("*").alias("rows"))
+
+
+def cleaned_ratings(groups: DataFrame) -> DataFrame:
+    return groups.filter("usable").select(*RATINGS.names)
+
+
+def cleaned_items(groups: DataFrame) -> DataFrame:
+    return groups.filter("usable").select("item_id", "kept.title", "kept.genres")
+
+
+def group_counts(groups: DataFrame, table: str) -> DataFrame:
+    """Rows before and after cleaning, as ``clean_stats`` gives them."""
+    before, after = F.coalesce(F.sum("rows"), F.lit(0)), F.count_if("usable")
+    return groups.agg(
+        F.lit(table).alias("table_name"),
+        before.cast("long").alias("rows_before"),
+        after.cast("long").alias("rows_after"),
+        (before - after).cast("long").alias("rows_dropped"),
+    )

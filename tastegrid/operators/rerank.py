@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from math import floor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.config import BlendConfig
 from tastegrid.functions import als_norm, comparable, ratio_or_zero
+from tastegrid.operators.numbering import numbered
 from tastegrid.operators.ranking import top_k
 
 # Below this penalty a better row of the same genre no longer safely outranks a worse one.
@@ -59,12 +60,25 @@ def within_unit(name: str) -> Column:
     return F.when(value.between(-1e-9, 1 + 1e-9) | value.isNull(), value).otherwise(wrong)
 
 
+def placed_in_genre(keyed: DataFrame, genre_key: list[str]) -> DataFrame:
+    """``genre_rank`` of all rows without a bound on it: places from sorted ranges, so that no task holds a group."""
+    falling = keyed
+    along = []
+    for name in ("_quality", "_liked"):
+        # Falling, null last, as an ascending order.
+        falling = falling.withColumns({f"{name}_none": F.col(name).isNull(), f"{name}_down": -F.col(name)})
+        along += [f"{name}_none", f"{name}_down"]
+    placed = numbered(falling, genre_key, [*along, "item_id"], "genre_rank")
+    return placed.withColumn("genre_rank", (F.col("genre_rank") + 1).cast("int")).drop(*along)
+
+
 def rerank(rows: DataFrame, extent: DataFrame, top_n: int, config: BlendConfig = BlendConfig()) -> DataFrame:
     """The ``top_n`` rows of each user by boosted, diversity-penalised hybrid score.
 
     Rows carry content columns, ``popularity_norm`` (null for unrated items), ``primary_genre`` and ``release_year``.
     Candidates are cut per (user, first genre) before they are ranked per user, so neither ranking ever holds more
-    than a bounded number of rows of one user.
+    than a bounded number of rows of one user. Without a diversity penalty nothing can be cut: then genre ranks come
+    from sorted ranges, which are kept (``operators.numbering``).
     """
     known = rows.fillna(0.0, ["popularity_norm"])
     known = known.withColumns({name: within_unit(name) for name in ("popularity_norm", "max_genre_weight")})
@@ -75,7 +89,7 @@ def rerank(rows: DataFrame, extent: DataFrame, top_n: int, config: BlendConfig =
     genre_key = ["user_id", "primary_genre"]
     depth = deepest_useful_rank(top_n, config)
     if depth is None:
-        placed = keyed.withColumn("genre_rank", F.row_number().over(Window.partitionBy(*genre_key).orderBy(*quality)))
+        placed = placed_in_genre(keyed, genre_key)
     else:
         # The rows come from a join on the user and lie together by it.
         placed = top_k(keyed, genre_key, quality, depth, "genre_rank", ["item_id", "als_score"], colocated=True)

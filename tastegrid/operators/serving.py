@@ -301,3 +301,50 @@ def serve_batch(
         _first(everyone["trending"], wide).alias("top_trending"),
         _explained(_first(F.col("genre_list"), wide), by_genre_reason).alias("top_by_genre"),
     )
+
+
+#: A key that more requests ask for is answered in several copies, each for so many of them.
+COPY_REQUESTS = 100_000
+
+
+def serve_distinct(
+    requests: DataFrame,
+    ratings: DataFrame,
+    precomputed: DataFrame,
+    fallback: DataFrame,
+    als_recommendations: DataFrame | None = None,
+    config: ServeConfig = ServeConfig(),
+    copy_requests: int = COPY_REQUESTS,
+) -> DataFrame:
+    """The rows of ``serve_batch``, with each distinct request answered once.
+
+    Requests are equal if user, size and genre are, after defaults are filled in; they are counted before the shuffle, so
+    a request that makes up a third of the batch is one row to answer. Answers go back to their requests by key; the
+    answer of a key with more than ``copy_requests`` requests is copied, and its requests are dealt over the copies. The
+    hot keys, at most one per ``copy_requests`` requests, are broadcast.
+    """
+    key = ["user_id", "top_n", "genre"]
+    prepared = prepare_requests(requests, config)
+    asked = prepared.groupBy(*key).agg(F.count("*").alias("_requests"))
+    answers = serve_batch(asked.select(F.lit(None).cast("long").alias("request_id"), *key), ratings, precomputed, fallback, als_recommendations, config)
+    copies = F.ceil(F.col("_requests") / copy_requests).cast("int")
+    hot = asked.filter(F.col("_requests") > copy_requests).select(*key, copies.alias("_copies"))
+
+    def named(df: DataFrame, mark: str) -> DataFrame:
+        return df.withColumnsRenamed({c: f"{mark}{c}" for c in key})
+
+    def same(mark: str) -> Column:
+        one = F.lit(True)
+        for c in key:
+            one = one & F.col(c).eqNullSafe(F.col(f"{mark}{c}"))
+        return one
+
+    def with_copies(df: DataFrame) -> DataFrame:
+        joined = df.join(F.broadcast(named(hot, "_hot_")), same("_hot_"), "left")
+        return joined.withColumn("_copies", F.coalesce("_copies", F.lit(1))).drop(*[f"_hot_{c}" for c in key])
+
+    dealt = with_copies(prepared).withColumn("_copy", F.pmod(F.xxhash64("request_id"), F.col("_copies")).cast("int"))
+    copied = with_copies(answers).withColumn("_answer_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    copied = named(copied.drop("request_id", "_copies"), "_answer_")
+    joined = dealt.join(copied, same("_answer_") & (F.col("_copy") == F.col("_answer_copy")))
+    return joined.select(*answers.columns)

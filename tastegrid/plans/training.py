@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +30,13 @@ from tastegrid.operators.split import train_test
 from tastegrid.plans.hybrid import hybrid_precomputed, hybrid_ranking_eval
 from tastegrid.session import release, reuse
 from tastegrid.sources.raw import read_feedback
+from tastegrid.sources.releases import current, publish
 from tastegrid.sources.tables import (
     append_ranking_metrics,
     append_trials,
+    latest_version,
+    load_als_model,
+    read_gold_fallback,
     read_gold_precomputed,
     read_silver_items,
     read_silver_ratings,
@@ -54,6 +60,10 @@ class TrainingConfig:
     largest_request: int = 50
 
 
+#: The folders of a release: model versions, stored lists, fallback lists.
+RELEASE_PARTS = ("models", "gold_precomputed", "gold_fallback")
+
+
 @dataclass(frozen=True)
 class StorePaths:
     silver_ratings: str
@@ -67,28 +77,43 @@ class StorePaths:
 
 
 def als_grid(
-    train: DataFrame, test: DataFrame, base: AlsConfig = AlsConfig(), grid: GridConfig = GridConfig()
+    train: DataFrame, test: DataFrame, base: AlsConfig = AlsConfig(), grid: GridConfig = GridConfig(), parallelism: int = 4
 ) -> tuple[ALSModel, list[dict]]:
     """Fit every combination of the grid and keep the model with the lowest error (the first among equals).
 
-    Only the errors come back, one number per trial; pass ``train`` and ``test`` through ``reuse`` first, since every
-    trial reads both.
+    Up to ``parallelism`` trials run at a time, each from a thread and, where the session schedules fairly, in a pool of
+    its own: a fit has many short jobs and stages that leave cores idle. Trials and winner do not depend on it. Only the
+    errors come back, one number per trial; pass ``train`` and ``test`` through ``reuse`` first, since every trial reads
+    both.
     """
-    best, trials = None, []
-    for trial_no, (rank, reg, iterations) in enumerate(product(grid.ranks, grid.reg_params, grid.max_iters), start=1):
+    spark = train.sparkSession
+    settings = list(enumerate(product(grid.ranks, grid.reg_params, grid.max_iters), start=1))
+
+    def attempt(trial: tuple[int, tuple[int, float, int]]) -> tuple[dict, ALSModel]:
+        trial_no, (rank, reg, iterations) = trial
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"als-trial-{trial_no % parallelism}")
         model = als_fit(train, replace(base, rank=rank, reg_param=reg, max_iter=iterations))
         error = rmse(als_predict(model, test)).head()["rmse"]
-        trials.append(dict(trial_no=trial_no, rank=rank, reg_param=reg, max_iter=iterations, rmse=error))
-        if error is not None and (best is None or error < best[0]):
-            best = (error, model)
+        return dict(trial_no=trial_no, rank=rank, reg_param=reg, max_iter=iterations, rmse=error), model
+
+    best, trials = None, []
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        # Results come in the order of the trials; of the models only the best so far is held.
+        for trial, model in pool.map(inheritable_thread_target(spark)(attempt), settings):
+            trials.append(trial)
+            if trial["rmse"] is not None and (best is None or trial["rmse"] < best[0]):
+                best = (trial["rmse"], model)
     if best is None:
         raise ValueError("no trial gave a model: train or test holds no usable pair")
     return best[1], trials
 
 
-def run_training(spark: SparkSession, paths: StorePaths, config: TrainingConfig = TrainingConfig()) -> dict:
+def run_training(spark: SparkSession, paths: StorePaths, config: TrainingConfig = TrainingConfig(), releases: str | None = None) -> dict:
     """Train on the silver ratings and the feedback, then replace model and gold tables.
 
+    With ``releases``, model, stored lists and fallback lists go to a release of the run there instead of the paths for
+    them, and become visible together when all are written (``published`` reads them); a run that fails changes nothing.
+
     Returns the model's path, the run and its trials, and how many users have fewer stored recommendations than asked for.
     """
     items = read_silver_items(spark, paths.silver_items)
@@ -99,7 +124,6 @@ def run_training(spark: SparkSession, paths: StorePaths, config: TrainingConfig
     model, trials = als_grid(train, test, config.als, config.grid)
     run_id = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     append_trials(trial_rows(spark, trials, run_id), paths.trials)
-    version_path = save_model_version(model, paths.models, spark)
 
     depth = max(config.blend.candidate_top_k, config.evaluation.k)
     test_candidates = als_candidates_subset(model, test, depth)
@@ -110,10 +134,20 @@ def run_training(spark: SparkSession, paths: StorePaths, config: TrainingConfig
     depth = max(config.blend.candidate_top_k, store.top_n) + store.over_fetch
     candidates = als_candidates_all(model, depth)
     precomputed = hybrid_precomputed(candidates, ratings, items, config.blend, store)
-    write_gold_precomputed(precomputed, paths.gold_precomputed, config.precompute.buckets)
     listed = replace(config.fallback, top_n=max(config.fallback.top_n, config.largest_request))
-    write_gold_fallback(fallback_all(ratings, items, listed), paths.gold_fallback)
-    stored = read_gold_precomputed(spark, paths.gold_precomputed).groupBy("user_id").count()
+
+    def write(models: str, gold_precomputed: str, gold_fallback: str) -> str:
+        version = save_model_version(model, models, spark)
+        write_gold_precomputed(precomputed, gold_precomputed, config.precompute.buckets)
+        write_gold_fallback(fallback_all(ratings, items, listed), gold_fallback)
+        return version
+
+    if releases is None:
+        version_path, lists = write(paths.models, paths.gold_precomputed, paths.gold_fallback), paths.gold_precomputed
+    else:
+        folder = publish(spark, releases, run_id, lambda f: write(*(f"{f}/{part}" for part in RELEASE_PARTS)))
+        version_path, lists = latest_version(spark, f"{folder}/{RELEASE_PARTS[0]}").head()["path"], f"{folder}/{RELEASE_PARTS[1]}"
+    stored = read_gold_precomputed(spark, lists).groupBy("user_id").count()
     everyone = ratings.select("user_id").distinct().join(stored, "user_id", "left")
     short = everyone.filter(F.coalesce("count", F.lit(0)) < store.top_n).count()
 
@@ -122,6 +156,15 @@ def run_training(spark: SparkSession, paths: StorePaths, config: TrainingConfig
     return {"model_path": version_path, "run_id": run_id, "trials": trials, "short_users": short}
 
 
-def retrain_job(spark: SparkSession, paths: StorePaths, config: TrainingConfig = TrainingConfig()) -> dict:
+def published(spark: SparkSession, releases: str) -> tuple[ALSModel, DataFrame, DataFrame] | None:
+    """Model, stored lists and fallback lists of the current release, all of one run; None before the first."""
+    folder = current(spark, releases)
+    if folder is None:
+        return None
+    models, lists, fallback = (f"{folder}/{part}" for part in RELEASE_PARTS)
+    return load_als_model(models), read_gold_precomputed(spark, lists), read_gold_fallback(spark, fallback)
+
+
+def retrain_job(spark: SparkSession, paths: StorePaths, config: TrainingConfig = TrainingConfig(), releases: str | None = None) -> dict:
     """Training after feedback came in.  The session is the caller's and stays up."""
-    return run_training(spark, paths, config)
+    return run_training(spark, paths, config, releases)

@@ -156,7 +156,3 @@ def stamped_metrics(metrics: DataFrame, algorithm: str, at: Column | None = None
 
 def append_ranking_metrics(metrics: DataFrame, path: str, algorithm: str = "hybrid_rerank") -> None:
     stamped_metrics(metrics, algorithm).hint("rebalance").write.mode("append").parquet(path)
-
-
-def append_history(history: DataFrame, path: str) -> None:
-    history.write.mode("append").parquet(path)

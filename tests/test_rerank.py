@@ -1,6 +1,7 @@
 """Re-ranking against a brute-force computation that ranks everything before it cuts."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -9,7 +10,7 @@ from tastegrid import BlendConfig
 from tastegrid.operators.explain import explain
 from tastegrid.operators.ranking import top_k
 from tastegrid.operators.rerank import deepest_useful_rank, recency_norm, rerank, year_extent
-from tests.helpers import by, tuples
+from tests.helpers import by, plan, tuples
 
 SCHEMA = (
     "user_id int, item_id int, als_score double, content_score double, max_genre_weight double, "
@@ -114,3 +115,17 @@ def test_explain_texts(rows):
         "Because you liked similar movies; Users similar to you liked this (0 ratings); Matches your favorite genre: Action",
         "Because you liked similar movies; Users similar to you liked this (0 ratings); Matches your favorite genre: Mixed",
     ]
+
+
+def test_without_a_penalty_no_task_holds_a_hot_group(rows):
+    found = random_rows(8, users=3, items=50)
+    found += [(7, 1000 + n, (n % 37) / 8, (n % 5) / 4, 0.5, "hot", 1990 + n % 9, [None, 0.5][n % 2]) for n in range(400)]
+    found += [(7, 2000, None, 0.0, 0.0, "hot", None, None)]
+    df = rows(SCHEMA, *found)
+    config = BlendConfig(diversity_penalty=0.0)
+    ranked = rerank(df, year_extent(df), 20, config)
+    got = {(r["user_id"], r["rank"]): (r["item_id"], r["genre_rank"], r["rerank_score"]) for r in ranked.collect()}
+    assert got == brute_force([r for r in found if r[2] is not None], 20, config)
+    text = plan(ranked, run=True)
+    assert "row_number() windowspecdefinition(user_id" in text and "windowspecdefinition(user_id#" in text
+    assert not re.search(r"windowspecdefinition\(user_id#\d+, primary_genre#\d+, _quality", text)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tastegrid import ServeConfig
 from tastegrid.operators import profiles, serving
@@ -166,3 +167,33 @@ def test_history_size(rows, n, kept):
 def test_short_answers_are_marked(rows, stores):
     got = answers(rows, stores, (1, 555, 12, None), (2, 555, 13, None), (3, 1, 6, None), (4, 1, 7, None))
     assert [got[n]["short"] for n in (1, 2, 3, 4)] == [False, True, False, True]
+
+
+def test_equal_requests_are_answered_once(rows, stores):
+    hot = [(i, 1, 3, None) for i in range(40)]
+    others = [(100, 1, 3, "drama"), (101, 1, 3, ""), (102, None, None, None), (103, None, 10, ""), (104, 2, 0, "Drama"), (105, 9, 10, "Drama"), (105, 9, 10, "Drama"), (None, 9, 10, "drama")]
+    asked = rows("request_id long, user_id int, top_n int, genre string", *hot, *others)
+    plain = tuples(serving.serve_batch(asked, *stores))
+    for copies in (7, 100):
+        assert tuples(serving.serve_distinct(asked, *stores, copy_requests=copies)) == plain
+    assert serving.serve_distinct(asked.limit(0), *stores).collect() == []
+
+
+def test_answering_takes_as_many_rows_as_there_are_keys(spark, rows, stores):
+    asked = rows("request_id long, user_id int, top_n int, genre string", *[(i, 1 if i % 3 == 0 else i, 3, None) for i in range(300)])
+    seen = []
+    real = serving.serve_batch
+
+    def counted(requests, *args, **kwargs):
+        seen.append(requests.count())
+        return real(requests, *args, **kwargs)
+
+    serving.serve_batch = counted
+    try:
+        answered = serving.serve_distinct(asked, *stores, copy_requests=20)
+    finally:
+        serving.serve_batch = real
+    assert seen == [asked.select("user_id").distinct().count()]
+    # The hot key's requests, a third of all, are dealt over its copies.
+    dealt = [r["count"] for r in answered.filter("user_id = 1").groupBy(F.pmod(F.xxhash64("request_id"), F.lit(5))).count().collect()]
+    assert len(dealt) == 5 and max(dealt) < 60 and answered.count() == 300

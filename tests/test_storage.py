@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from tastegrid import AlsConfig, GridConfig, PrecomputeConfig
 from tastegrid.config import FallbackConfig
 from tastegrid.operators.als import als_candidates_all, als_candidates_subset, als_enriched, als_fit, als_predict
-from tastegrid.operators import serving
+from tastegrid.operators import cleaning, serving
 from tastegrid.operators.fallback import fallback_all
+from tastegrid.plans import training
 from tastegrid.plans.etl import run_etl
 from tastegrid.plans.training import StorePaths, TrainingConfig, retrain_job
-from tastegrid.sources import raw, tables
+from tastegrid.session import release, reuse
+from tastegrid.sources import raw, releases, tables
 from tests.helpers import plan, tuples
 from workload.views import Views
 
@@ -175,3 +177,72 @@ def test_retrain_job(spark, small_dir, tmp_path):
     answers = serving.serve_batch(asked, view.merged(), stored, lists).select("request_id", "short", F.size("recommendations")).collect()
     assert sorted(tuple(r) for r in answers) == [(1, False, 30), (2, True, 30)]
     spark.range(1).count()  # the session is still up
+
+
+def test_a_failed_run_leaves_the_release_served(spark, small_dir, tmp_path, monkeypatch):
+    view = Views(spark, small_dir)
+    paths = StorePaths(**{name: str(tmp_path / name) for name in StorePaths.__dataclass_fields__})
+    root = str(tmp_path / "releases")
+    tables.write_silver_ratings(view.ratings(), paths.silver_ratings)
+    tables.write_silver_items(view.items(), paths.silver_items)
+    view.feedback().write.option("header", True).csv(paths.feedback)
+    config = TrainingConfig(als=AlsConfig(blocks=2), grid=GridConfig(ranks=(2,), reg_params=(0.1,), max_iters=(2,)), precompute=PrecomputeConfig(top_n=5))
+    assert training.published(spark, root) is None
+    first = retrain_job(spark, paths, config, root)
+
+    def answers():
+        model, lists, fallback = training.published(spark, root)
+        return model.rank, tuples(lists, "user_id", "item_id", "rank"), fallback.count()
+
+    before, opened = answers(), training.published(spark, root)[1]
+
+    def broken(fallback, path):
+        raise OSError("disk full")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(training, "write_gold_fallback", broken)
+        with pytest.raises(OSError):
+            retrain_job(spark, paths, config, root)
+    assert answers() == before
+    second = retrain_job(spark, paths, config, root)
+    assert answers()[0] == 2 and releases.current(spark, root).endswith(second["run_id"])
+    # Readers of the former release go on; what the failed run left is gone with the release before that.
+    assert opened.count() == len(before[1])
+    retrain_job(spark, paths, config, root)
+    left = sorted(p.name for p in (tmp_path / "releases" / "runs").iterdir())
+    assert len(left) == 2 and first["run_id"] not in left and left[0] == second["run_id"]
+
+
+def test_trials_at_the_same_time_are_the_trials_one_by_one(fitted):
+    _, train, test, _ = fitted
+    grid = GridConfig(ranks=(2, 3), reg_params=(0.1, 0.5), max_iters=(2,))
+    sides = [reuse(side) for side in (train, test)]
+    one, several = (training.als_grid(*sides, AlsConfig(blocks=2), grid, parallelism=p) for p in (1, 4))
+    for side in sides:
+        release(side)
+    assert [(t["trial_no"], t["rank"], t["reg_param"], round(t["rmse"], 6)) for t in one[1]] == [(t["trial_no"], t["rank"], t["reg_param"], round(t["rmse"], 6)) for t in several[1]]
+    assert one[0].rank == several[0].rank
+
+
+def test_each_raw_file_is_read_once(spark, tmp_path, monkeypatch):
+    ratings = text(tmp_path / "ratings.dat", "1::2::3.5::7\n1::2::4.5::7\n1::2::9::8\n4::2::3::8\nx::y\n")
+    items = text(tmp_path / "movies.dat", "2::B (1990)::x\n2::A (1990)::x\n3::C\n")
+    read = spark.sparkContext.accumulator(0)
+    real = raw.read_ratings
+    from tastegrid.plans import etl
+
+    def watched(*args):
+        def passing(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        rows = real(*args)
+        return rows.mapInArrow(passing, rows.schema)
+
+    monkeypatch.setattr(etl, "read_ratings", watched)
+    stats = etl.run_etl(spark, ratings, items, str(tmp_path / "sr"), str(tmp_path / "si"))
+    assert tuples(stats) == [("items", 3, 1, 2), ("ratings", 5, 2, 3)]
+    assert tuples(stats) == tuples(cleaning.clean_stats(real(spark, ratings), raw.read_items(spark, items)))
+    assert tuples(tables.read_silver_ratings(spark, str(tmp_path / "sr")).drop("user_bucket")) == tuples(cleaning.clean_ratings(real(spark, ratings)))
+    assert read.value == 5

@@ -38,8 +38,9 @@ from tastegrid.plans.etl import run_etl
 from tastegrid.plans.training import StorePaths, TrainingConfig, als_grid, retrain_job
 from tastegrid.schemas import TRIALS
 from tastegrid.session import release, reuse, scratch_path
-from tastegrid.sources import raw, tables
-from tastegrid.streaming import feeds, upserts
+from tastegrid.sources import history as stored_history
+from tastegrid.sources import raw, releases, tables
+from tastegrid.streaming import feeds, ingest, upserts
 from workload.views import Views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -615,6 +616,13 @@ def q_serve_fallback(v: Views) -> DataFrame:
     return _flat(_answers(v).filter(F.col("route") == "fallback"), "recommendations").drop("rank")
 
 
+@query
+def q_serve_distinct(v: Views) -> DataFrame:
+    """All profile requests, many of them equal, with each distinct one answered once."""
+    answers = serving.serve_distinct(_profile_requests(v), v.merged(), _precomputed(v), _fallback(v), copy_requests=5)
+    return _flat(answers, "because_you_watched")
+
+
 @query
 def q_because_you_watched(v: Views) -> DataFrame:
     return _flat(_answers(v), "because_you_watched")
@@ -667,8 +675,19 @@ def q_recommendation_history(v: Views) -> DataFrame:
     """History rows written for answered profile requests."""
     asked = _profile_requests(v)
     path = scratch_path(v.spark, "history")
-    tables.append_history(profile_ops.recommendation_history(_answers(v, asked), asked), path)
-    return longs(v.spark.read.parquet(path).drop("created_at"), "top_n")
+    stored_history.append_history(profile_ops.recommendation_history(_answers(v, asked), asked), path, batch=0)
+    return longs(stored_history.read_history(v.spark, path).drop("history_id", "created_at"), "top_n")
+
+
+@query
+def q_stored_history(v: Views) -> DataFrame:
+    """Answers to all profile requests stored in two batches, each delivered twice; every profile's latest five."""
+    asked = reuse(_profile_requests(v))
+    path = scratch_path(v.spark, "history")
+    rows = reuse(profile_ops.recommendation_history(_answers(v, asked), asked))
+    for batch in (0, 0, 1, 1):
+        stored_history.append_history(rows.filter(F.col("request_id") % 2 == batch), path, batch)
+    return longs(profile_ops.history_last_n(stored_history.read_history(v.spark, path).drop("created_at"), 5), "place", "top_n")
 
 
 @query
@@ -734,6 +753,50 @@ def q_stream_profile_ratings(v: Views) -> DataFrame:
     return upserts.current_profile_ratings(spark.read.parquet(f"{root}/log"))
 
 
+@query
+def q_ingest_feedback(v: Views) -> DataFrame:
+    """All feedback in two deliveries, the older days last, and once more; stored ratings, their events and rejected rows."""
+    spark, root = v.spark, scratch_path(v.spark, "feedback_ingest")
+    feedback = reuse(v.feedback())
+    middle = feedback.agg(F.expr("(min(ts) + max(ts)) div 2")).scalar()
+    newer = F.coalesce(F.col("ts") > middle, F.lit(False))
+    for part in (newer, ~newer, newer):
+        feedback.filter(part).write.mode("append").option("header", True).csv(f"{root}/in")
+        source = feeds.feedback_source(spark, f"{root}/in")
+        _drained(ingest.ingest_feedback(source, f"{root}/out", f"{root}/state", once=True))
+        ingest.feedback_store(f"{root}/out").compact(spark)
+    outputs = []
+    for name in (ingest.RATINGS, ingest.REJECTED):
+        outputs.append(ingest.ingested(spark, f"{root}/out", name).select(F.lit(name).alias("output"), "user_id", "item_id", "rating", "ts"))
+    raised = ingest.ingested(spark, f"{root}/out", ingest.RATE_EVENTS)
+    stamp = F.unix_timestamp(F.try_to_timestamp("timestamp")).alias("ts")
+    outputs.append(raised.select(F.lit("rate").alias("output"), "user_id", "item_id", F.col("metadata")["rating"].cast("double").alias("rating"), stamp))
+    return outputs[0].unionByName(outputs[1]).unionByName(outputs[2])
+
+
+@query
+def q_ingest_events(v: Views) -> DataFrame:
+    """All events as JSON files through one streaming query; accepted and rejected rows as stored."""
+    spark, root = v.spark, scratch_path(v.spark, "event_ingest")
+    v.events().select(*feeds.EVENT_COLUMNS).write.json(f"{root}/in")
+    _drained(ingest.ingest_events(feeds.event_source(spark, f"{root}/in"), f"{root}/out", f"{root}/state", once=True))
+    good = ingest.ingested(spark, f"{root}/out", ingest.ACCEPTED_EVENTS).withColumn("accepted", F.lit(True))
+    both = good.unionByName(ingest.ingested(spark, f"{root}/out", ingest.REJECTED_EVENTS).withColumn("accepted", F.lit(False)))
+    return both.select("timestamp", "event_type", "user_id", "item_id", F.col("metadata")["k"].alias("k"), "dt", "accepted")
+
+
+@query
+def q_profile_rating_store(v: Views) -> DataFrame:
+    """All profile rating writes in four deliveries, compacted twice on the way; the rating table as it then reads."""
+    spark, root = v.spark, scratch_path(v.spark, "profile_store")
+    writes = reuse(v.profile_writes().select(*upserts.WRITE_COLUMNS))
+    for part in (3, 1, 0, 2):
+        writes.filter(F.col("write_no") % 4 == part).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(writes.schema).parquet(f"{root}/in")
+        _drained(ingest.keep_profile_ratings(source, f"{root}/store", f"{root}/state", compact_every=2, once=True))
+    return ingest.current_ratings(spark, f"{root}/store")
+
+
 # Collaborative filtering ---------------------------------------------------------------------------------------------
 
 
@@ -787,6 +850,28 @@ def q_als_candidates_subset(v: Views) -> DataFrame:
     return _per_user(als_ops.als_candidates_subset(_model(v), v.train_test()[1], BlendConfig().candidate_top_k))
 
 
+@query
+def q_als_top_k(v: Views) -> DataFrame:
+    """The pruned search over the whole model: per user whether scores are those of all pairs, and whether fewer were computed."""
+    model, k = _model(v), BlendConfig().candidate_top_k
+    pairs, compared = als_ops.als_top_k(model, k)
+    every = als_ops.als_candidates_all(model, k)
+
+    def scores(rows: DataFrame, name: str) -> DataFrame:
+        falling = F.sort_array(F.collect_list("als_score"), asc=False)
+        return rows.groupBy("user_id").agg(falling.alias(name), F.count_distinct("item_id").alias(f"{name}_items"))
+
+    both = scores(pairs, "mine").join(scores(every, "theirs"), "user_id").join(compared, "user_id")
+    near = F.forall(F.zip_with("mine", "theirs", lambda a, b: F.abs(a - b) < 1e-4), lambda same: F.coalesce(same, F.lit(False)))
+    items = model.itemFactors.agg(F.count("*")).scalar()
+    return both.select(
+        "user_id",
+        F.size("mine").cast("long").alias("candidates"),
+        (near & (F.col("mine_items") == F.size("mine"))).alias("same_scores"),
+        (F.col("compared") <= items).alias("no_more_pairs"),
+    )
+
+
 @query
 def q_als_enriched(v: Views) -> DataFrame:
     """Per user the candidates and how many of them bear another title or other genres than the catalogue."""
@@ -866,6 +951,29 @@ def q_hybrid_ranking_eval_als(v: Views) -> DataFrame:
     return metrics.select(F.col("k").cast("long").alias("k"), *[F.col(c).between(0, 1).alias(c) for c in ("precision_at_k", "recall_at_k", "ndcg_at_k")])
 
 
+@query
+def q_published_fallback(v: Views) -> DataFrame:
+    """Fallback lists of two runs and one that fails on the way: the current release is that of the last whole run."""
+    spark, root = v.spark, scratch_path(v.spark, "releases")
+
+    def write(top_n: int, fail: bool = False) -> Callable[[str], None]:
+        def run(folder: str) -> None:
+            tables.write_gold_fallback(fallback.fallback_all(v.ratings(), v.items(), FallbackConfig(top_n=top_n)), f"{folder}/gold_fallback")
+            if fail:
+                raise InterruptedError
+
+        return run
+
+    releases.publish(spark, root, "run-1", write(3))
+    releases.publish(spark, root, "run-2", write(10))
+    try:
+        releases.publish(spark, root, "run-3", write(5, fail=True))
+    except InterruptedError:
+        pass
+    lists = tables.read_gold_fallback(spark, f"{releases.current(spark, root)}/gold_fallback")
+    return rounded(longs(lists, "rank"))
+
+
 @query
 def q_retrain_job(v: Views) -> DataFrame:
     """The whole job on stored silver tables and feedback, with the configured grid; all that it published."""

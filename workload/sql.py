@@ -397,6 +397,7 @@ oracle(
 oracle("fallback_global", f"SELECT {FALLBACK_SHOWN} FROM fb_global", fallback("ratings", 10))
 oracle("fallback_by_genre", f"SELECT {FALLBACK_SHOWN} FROM fb_genre", fallback("ratings", 10))
 oracle("fallback_all", f"SELECT {FALLBACK_SHOWN} FROM fb_all", fallback("ratings", 10))
+oracle("published_fallback", f"SELECT {FALLBACK_SHOWN} FROM fb_all", fallback("ratings", 10))
 oracle(
     "top_trending",
     """SELECT rank, item_id, title, genres, round(popularity_score, 9) AS popularity_score,
@@ -561,6 +562,11 @@ oracle(
     'SELECT request_id, pos, item_id, title, "explain" FROM rec_rows WHERE pos < 5',
     SERVING,
 )
+oracle(
+    "serve_distinct",
+    'SELECT request_id, pos, item_id, title, "explain" FROM rec_rows WHERE pos < 5',
+    serving("profile_requests"),
+)
 oracle(
     "score_rows",
     """SELECT request_id, pos, item_id, round(score, 9) AS score, als_score, round(content_score, 9) AS content_score
@@ -600,11 +606,31 @@ oracle(
                 strftime(o_orderdate, '%Y-%m-%d') AS created_at,
                 row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS place FROM orders) WHERE place <= 5""",
 )
+oracle(
+    "stored_history",
+    """SELECT * FROM (
+         SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY history_id DESC) AS place FROM (
+           SELECT row_number() OVER (ORDER BY r.request_id % 2, r.request_id) AS history_id, r.request_id, p.profile_id, r.route,
+                  CAST(r.top_n AS BIGINT) AS top_n, r.genre
+           FROM routed r JOIN profile_requests p ON p.request_id = r.request_id)) WHERE place <= 5""",
+    serving("profile_requests"),
+)
+ORACLES["profile_rating_store"] = ORACLES["latest_profile_rating"]
+oracle(
+    "ingest_feedback",
+    """SELECT 'ratings' AS output, user_id, item_id, max(rating) AS rating, ts FROM feedback
+       WHERE rating BETWEEN 0.5e0 AND 5.0e0 GROUP BY user_id, item_id, ts
+       UNION ALL
+       SELECT DISTINCT 'rejected', user_id, item_id, rating, ts FROM feedback WHERE NOT coalesce(rating BETWEEN 0.5e0 AND 5.0e0, false)
+       UNION ALL
+       SELECT DISTINCT 'rate', user_id, item_id, rating, ts FROM feedback WHERE rating BETWEEN 0.5e0 AND 5.0e0""",
+)
 oracle(
     "stream_event_sink",
     """SELECT "timestamp", event_type, user_id, item_id, k, substr("timestamp", 1, 10) AS dt,
               event_type IN ('click', 'view', 'rate', 'skip') AS accepted FROM behaviour""",
 )
+ORACLES["ingest_events"] = ORACLES["stream_event_sink"]
 oracle(
     "stream_feedback_sink",
     """SELECT user_id, item_id, max(rating) AS rating, ts, true AS accepted FROM feedback
@@ -632,6 +658,7 @@ _PER_USER = """SELECT DISTINCT user_id, least(50, (SELECT count(DISTINCT item_id
                       least(50, (SELECT count(DISTINCT item_id) FROM train)) AS items, 0::BIGINT AS without_score FROM train"""
 oracle("als_candidates_all", _PER_USER)
 oracle("als_candidates_subset", _PER_USER + " WHERE user_id IN (SELECT user_id FROM test)")
+oracle("als_top_k", "SELECT user_id, candidates, true AS same_scores, true AS no_more_pairs FROM (" + _PER_USER + ")")
 oracle(
     "als_enriched",
     """SELECT DISTINCT user_id, least(50, (SELECT count(DISTINCT item_id) FROM train)) AS candidates, 0::BIGINT AS different
