@@ -97,12 +97,12 @@ def unseen(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, te
     return blobs.join(tried, "blob", "left").select("blob", todo.alias("todo")).filter("size(todo) > 0")
 
 
-def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: str = "text", most_broadcast: int = 500_000) -> str | None:
+def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: str = "text", most_broadcast: int = 50_000) -> str | None:
     """Try the rules on all blobs of ``versions`` that they have not been tried on, and commit what they found to the
     ledger. Gives the run's name, None where nothing is new.
 
     ``versions`` may hold any number of versions of any number of paths; each content is scanned once, however many
-    rows have it. Up to ``most_broadcast`` new blobs (120 bytes each) go to every task, so that only their texts are
+    rows have it. Up to ``most_broadcast`` new blobs (200 bytes each) go to every task, so that only their texts are
     shuffled; more are joined by address, after copies have been merged. The ledger is the same either way.
     """
     todo = keep(unseen(versions, ledger, rules, text), "secrets-todo")
