@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid.session import scratch_path
@@ -163,8 +165,41 @@ def fresh(taken: Iterable[str], name: str) -> str:
     return name
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function`` for ``mapInArrow``, so that a worker gives memory back: Arrow allocates from the system, which takes a
+    freed batch back at once, and when the task ends what its tables and caches held is returned. Workers serve many tasks
+    of many stages, and would else keep the largest of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
+def bounded_sample(keys: DataFrame, by: list[str], each: dict[tuple, int]) -> DataFrame:
+    """Of each group ``by`` that ``each`` names, so many of the rows of ``keys`` (or all), those with the smallest ``h``, a hash
+    over 64 bits that no two rows of a group share. Each group is first cut to about a quarter more than that by the
+    hash's range, so that only few rows of a group meet in one task."""
+    counts = {tuple(r[c] for c in by): r["count"] for r in keys.groupBy(*by).count().collect()}
+    wide = F.lit(0).cast("double")
+    quota = F.lit(0)
+    for group, wanted in each.items():
+        here = F.lit(True)
+        for c, value in zip(by, group):
+            here = here & F.col(c).eqNullSafe(F.lit(value))
+        share = min(1.0, (1.25 * wanted + 50) / max(1, counts.get(group, 0)))
+        wide, quota = F.when(here, share).otherwise(wide), F.when(here, wanted).otherwise(quota)
+    place = F.col("h").cast("double") / float(2**64) + 0.5
+    few = keys.filter(place <= wide)
+    ordered = Window.partitionBy(*by).orderBy("h")
+    return few.withColumn("rank_in_sample", F.row_number().over(ordered)).filter(F.col("rank_in_sample") <= quota).drop("rank_in_sample")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, prior: np.ndarray, spread: np.ndarray, steps: int = 50) -> np.ndarray:

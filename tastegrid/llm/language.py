@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tastegrid.llm.common import logistic, slices, text_bytes
+from tastegrid.llm.common import bounded_sample, keep, lean, logistic, slices, text_bytes
 
 #: Families of closely related languages, by ISO 639-1 code; any other language is a family of its own.
 FAMILIES = {
@@ -34,7 +34,7 @@ _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    #: The classifiers are fitted on about so many rows, shared evenly by the languages, chosen by a hash of the id.
+    #: The classifiers are fitted on so many rows at most, shared evenly by the languages, chosen by a hash of id and text.
     fit_rows: int = 4_000
     most_languages: int = 200
     dimensions: int = 4096
@@ -139,18 +139,24 @@ def held_out(id_: str):
 
 
 def fit(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> LanguageModel:
-    """Learn from text and language of documents that are not held out; rows without text, letter or language are not used."""
+    """Learn from text and language of documents that are not held out; rows without text, letter or language are not used.
+
+    The sample is drawn by a hash of id and text together, rows equal in both counting once: null ids, repeated ids and
+    copies neither fill it nor empty it. Each language has its share of ``fit_rows``, which is a hard bound.
+    """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("doc_id"))
-    known = docs.filter(F.col("lang").isNotNull() & ~held_out("doc_id")).groupBy("lang").count().limit(config.most_languages + 1).collect()
+    usable = usable.select("lang", "text", F.xxhash64(F.lit("language"), "doc_id", "text").alias("h"))
+    places = keep(usable.select("lang", "h").distinct(), "language-places")
+    known = [r["lang"] for r in places.select("lang").distinct().limit(config.most_languages + 1).collect()]
     if len(known) > config.most_languages:
         raise ValueError(f"more than {config.most_languages} languages")
     model = LanguageModel(config.dimensions)
     if not known:
         return model
-    each = config.fit_rows / len(known)
-    share = F.create_map(*[F.lit(v) for r in known for v in (r["lang"], int((1 << 20) * min(1.0, each / r["count"])))])
-    place = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20))
-    chosen = usable.filter(place < F.element_at(share, F.col("lang"))).select("lang", "text")
+    each = max(1, config.fit_rows // len(known))
+    # At most fit_rows rows of a name and a number, and as many texts.
+    chosen = bounded_sample(places, ["lang"], {(lang,): each for lang in known})
+    chosen = usable.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
     dimensions = config.dimensions
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +164,8 @@ def fit(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> LanguageM
             rows = features(batch.column("text"), dimensions).astype(np.float16)
             yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "x": [r.tobytes() for r in rows]})
 
-    # About fit_rows vectors of 8 kB.
-    found = chosen.mapInArrow(described, "lang string, x binary").toPandas()
+    # At most fit_rows vectors of 8 kB.
+    found = chosen.select("lang", "text").mapInArrow(lean(described), "lang string, x binary").toPandas()
     found = found.sort_values(["lang", "x"], kind="stable")
     if not len(found):
         return model
@@ -196,7 +202,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "score"])
 
     fields = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
-    return docs.mapInArrow(rows, StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(lean(rows), StructType([*docs.schema.fields, *fields]))
 
 
 def language_digest(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> DataFrame:

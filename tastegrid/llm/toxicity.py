@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tastegrid.llm.common import keep, logistic, slices
+from tastegrid.llm.common import bounded_sample, keep, lean, logistic, slices
 
 
 @dataclass(frozen=True)
 class ToxicityConfig:
     threshold: float = 0.7
-    #: About so many labelled rows, chosen by a hash of their id, fit the lexicon and the weights.
+    #: So many labelled rows at most, chosen by a hash of id and text, fit the lexicon and the weights.
     fit_rows: int = 20_000
     #: A term needs so many toxic texts and must be so many times as frequent in toxic texts as in clean ones.
     least_support: int = 3
@@ -55,6 +55,10 @@ def edits_allowed(term: str) -> int:
     return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
+#: Trie nodes in all states that an automaton holds, about 40 MB with their tables, and tokens that a matcher remembers.
+MOST_HELD, MOST_TOKENS = 200_000, 100_000
+
+
 class LexiconAutomaton:
     """The intersection of a lexicon's trie with the Levenshtein automata of its terms, made deterministic as it is used.
 
@@ -73,11 +77,16 @@ class LexiconAutomaton:
             self.final[node] = (term, edits)
         for stem in stems:
             self.stem[self._insert(stem, 0)] = stem
+        self.restart()
+
+    def restart(self) -> None:
+        """Forget all states: they are made again as words need them."""
         self.table: list[dict[str, int]] = []
         self.hits: list[tuple[int, str] | None] = []
         self.stems_hit: list[str | None] = []
         self.number: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
+        self.held = 0
         self.start = self._state({0: 0})
 
     def _insert(self, term: str, edits: int) -> int:
@@ -109,6 +118,7 @@ class LexiconAutomaton:
         if known is None:
             known = self.number[key] = len(self.sets)
             self.sets.append(key)
+            self.held += len(key)
             self.table.append({})
             ends = [(e, self.final[n][0]) for n, e in key if self.final[n] and e <= self.final[n][1]]
             self.hits.append(min(ends, default=None))
@@ -129,6 +139,8 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[str, str] | None:
         """The kind of term that ``word`` is (word, misspelled or stem) and the term; None if it is none."""
+        if self.held > MOST_HELD:
+            self.restart()
         state, stem = self.start, None
         for letter in word:
             following = self.table[state].get(letter)
@@ -154,7 +166,7 @@ class ToxicityModel:
 class Matcher:
     """Hits of a text: terms it has, and whether they stand in quotation."""
 
-    def __init__(self, model: ToxicityModel, window: int, remembered: int = 200_000):
+    def __init__(self, model: ToxicityModel, window: int, remembered: int = MOST_TOKENS):
         words = {t: edits_allowed(t) for t in model.terms if t[-1] != "*"}
         self.automaton = LexiconAutomaton(words, {t[:-1] for t in model.terms if t[-1] == "*"})
         self.model, self.window, self.remembered = model, window, remembered
@@ -218,15 +230,19 @@ def _counts(text: str, config: ToxicityConfig) -> Counter:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, config: ToxicityConfig) -> DataFrame:
-    """``text, toxic`` of about ``fit_rows`` labelled documents outside the held-out third."""
+    """``text, toxic`` of ``fit_rows`` labelled documents outside the held-out third, or of all if there are fewer.
+
+    Drawn by a hash of id and text together, rows equal in both counting once, so that neither repeated ids nor copies
+    fill the sample; only ids and hashes meet the labels.
+    """
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out("doc_id"))
-    marked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    total = marked.count()
-    share = int((1 << 20) * min(1.0, config.fit_rows / max(1, total)))
-    chosen = marked.filter(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 20)) < share)
-    # About fit_rows rows of two numbers.
-    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    marked = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64(F.lit("toxicity"), "doc_id", "text").alias("h"))
+    places = keep(texts.select("doc_id", "h").distinct().join(marked, "doc_id"), "toxicity-places")
+    chosen = bounded_sample(places.withColumn("all", F.lit(0)), ["all"], {(0,): config.fit_rows})
+    # At most fit_rows rows of three numbers, and as many texts.
+    rows = texts.join(F.broadcast(chosen.select("doc_id", "h", "toxic")), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    return keep(rows.select("text", "toxic"), "toxicity-sample")
 
 
 def held_out(id_: str):
@@ -258,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
                 {"term": part, "texts": [texts[1][t] for t in part], "toxic": [times[1][t] for t in part], "clean": [times[0][t] for t in part]}
             )
 
-    counts = rows.mapInArrow(count, "term string, texts long, toxic long, clean long").groupBy("term")
+    counts = rows.mapInArrow(lean(count), "term string, texts long, toxic long, clean long").groupBy("term")
     counts = counts.agg(*(F.sum(c).alias(c) for c in ("texts", "toxic", "clean")))
     counts = keep(counts.filter(F.col("texts") >= config.least_support), "toxicity-counts")
     total = counts.filter("term = ''").head()
@@ -277,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
             found = [[(t, n) for t, n in _counts(t, config).items() if t in found_counts] for t in texts]
             yield pa.RecordBatch.from_pydict({"terms": [[t for t, _ in f] for f in found], "times": [[n for _, n in f] for f in found]}, _COVER)
 
-    covers = [list(zip(r["terms"], r["times"])) for r in rows.mapInArrow(candidates_of, "terms array<string>, times array<long>").collect()]
+    covers = [list(zip(r["terms"], r["times"])) for r in rows.mapInArrow(lean(candidates_of), "terms array<string>, times array<long>").collect()]
     model = ToxicityModel(_cover(covers, found_counts, totals, config))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
             found = [sorted({w for k, _, w in matcher.hits(t) if k.startswith("misspelled")}) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"word": pa.array(found, pa.list_(pa.string())), "toxic": batch.column("toxic")})
 
-    words = rows.mapInArrow(near, "word array<string>, toxic int").select(F.explode("word").alias("word"), "toxic")
+    words = rows.mapInArrow(lean(near), "word array<string>, toxic int").select(F.explode("word").alias("word"), "toxic")
     use = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
     harmless = use.filter("clean >= 2 AND clean > toxic").orderBy(F.desc("clean"), "word").limit(50_000).collect()
     model.harmless = {r["word"] for r in harmless}
@@ -298,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
             yield pa.RecordBatch.from_pydict({"x": pa.array(found, pa.list_(pa.float64())), "toxic": batch.column("toxic")})
 
     # At most a row for each training text; texts without hits share one.
-    seen = rows.mapInArrow(described, "x array<double>, toxic int").groupBy("x", "toxic").count().collect()
+    seen = rows.mapInArrow(lean(described), "x array<double>, toxic int").groupBy("x", "toxic").count().collect()
     seen.sort()
     prior = np.array([BASE, *KINDS.values(), 0.0])
     spread = np.array([0.5, *[1.5] * len(KINDS), 1.0])
@@ -394,7 +410,7 @@ def score(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig = Toxici
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "score", "predicted"])
 
     fields = [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
-    return docs.mapInArrow(rows, StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(lean(rows), StructType([*docs.schema.fields, *fields]))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:

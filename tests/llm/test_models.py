@@ -212,3 +212,27 @@ def test_toxicity_of_odd_rows_and_none(spark, oddities, docs, model):
     labels = spark.createDataFrame([(1, None), (1, 1), (1, 0), (None, 1), (77, 1), (2, 0)], "doc_id long, toxic int")
     assert toxicity.toxicity_digest(oddities, labels).count() == oddities.count()
     assert toxicity.toxicity_digest(docs().limit(0), labels.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("id_", [None, 4, 9])
+def test_languages_are_learned_whatever_the_ids(docs, id_):
+    # With one id for all, or none, every row is on the same side of any hash of the id.
+    rng = random.Random(4)
+    english, german = "the and with that from this have".split(), "und der nicht mit dass eine für".split()
+    texts = [(" ".join(rng.choices(words, k=12)) + f" {k}", lang) for k in range(150) for words, lang in ((english, "en"), (german, "de"))]
+    copies = [("the and the and the and the", "en")] * 300
+    df = docs(*[(id_, text, lang, "a") for text, lang in texts + copies])
+    model = language.fit(df, language.LanguageConfig(fit_rows=60, steps=200))
+    got = language.identify(docs((1, "that with the from have and"), (2, "nicht dass der für eine und")), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["en", "de"]
+
+
+def test_samples_have_a_hard_bound(spark, docs):
+    # One labelled id with most of the rows, copies of one text among them.
+    rows = [(7, f"text {k} of one document") for k in range(400)] + [(7, "copy")] * 400 + [(k, f"other {k}") for k in range(8, 90)]
+    df = docs(*rows)
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(90)] + [(7, 0, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    few = toxicity.training_rows(df, labels, toxicity.ToxicityConfig(fit_rows=50)).collect()
+    assert len(few) == 50 and len({r.text for r in few}) == 50
+    every = toxicity.training_rows(df, labels, toxicity.ToxicityConfig()).collect()
+    assert sum(r.text == "copy" for r in every) == 1 and len(every) == len({r.text for r in every})
