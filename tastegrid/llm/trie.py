@@ -24,9 +24,9 @@ FAMILY, MOST_SHARED = 5, 8
 class TrieConfig:
     """Sizes of shards and samples; the result does not depend on any of them."""
 
-    shard_turns: int = 8_192
+    shard_turns: int = 2_048
     most_shards: int = 1 << 16
-    samples_per_shard: int = 8
+    samples_per_shard: int = 32
     most_samples: int = 1 << 18
     #: Turns of all sampled paths together that reach the driver; longer paths are cut, and then separate less finely.
     most_sampled_turns: int = 1 << 22
