@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from tastegrid.llm.common import slices
+from tastegrid.llm.common import lean, slices
 
 NEVER = 1 << 60
+#: Words, beginnings of words and arcs that a coder remembers: about 35 MB together. The result does not depend on it.
+MOST_WORDS, MOST_PATHS, MOST_ARCS = 100_000, 40_000, 100_000
 #: The vocabulary's own rule for splitting, white space being Unicode's.
 _BLANK = r"\u0009-\u000d\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + _BLANK + r"\p{L}\p{N}]+"
@@ -72,6 +74,7 @@ class Automaton:
             self.rank.setdefault((u, v), time)
         self.longest = max(map(len, self.right), default=0)
         self.arcs: dict[str, dict[str, bool]] = {}
+        self.n_arcs = 0
         self.paths: dict[str, list[str]] = {}
 
     def arc(self, q: str, x: str) -> bool:
@@ -80,6 +83,10 @@ class Automaton:
             row = self.arcs[q] = {}
         known = row.get(x)
         if known is None:
+            if self.n_arcs >= MOST_ARCS:
+                self.arcs.clear()
+                self.n_arcs, row = 0, self.arcs.setdefault(q, {})
+            self.n_arcs += 1
             known = row[x] = self._arc(q, x)
         return known
 
@@ -109,7 +116,7 @@ class Automaton:
                     return [token]
                 before = self.paths.get(word[:j])
                 if before is None:
-                    if len(self.paths) >= 100_000:
+                    if len(self.paths) >= MOST_PATHS:
                         self.paths.clear()
                     before = self.paths[word[:j]] = self.path(word[:j])
                 if self.arc(before[-1], token):
@@ -136,7 +143,7 @@ class Automaton:
 class WordBpe:
     """Encoder and decoder for a vocabulary file with word ends: ids as the file's own library gives them."""
 
-    def __init__(self, file: dict, unsure: tuple[str, str] = ("", ""), remembered: int = 200_000):
+    def __init__(self, file: dict, unsure: tuple[str, str] = ("", ""), remembered: int = MOST_WORDS):
         model = file["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.ids = model["vocab"]
@@ -211,7 +218,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, ids, decoded])
 
     schema = docs.withColumns({ids: F.lit(None).cast("array<int>"), decoded: F.lit(None).cast("string")}).schema
-    return docs.mapInArrow(rows, schema)
+    return docs.mapInArrow(lean(rows), schema)
 
 
 def token_digest(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import Words, components, fresh, groups, keep, mix, slices
+from tastegrid.llm.common import Words, components, fresh, groups, keep, lean, mix, slices
 
 
 @dataclass(frozen=True)
@@ -149,7 +149,7 @@ def signatures(docs: DataFrame, config: MinHashConfig) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "set", "n", "packed", "bands"])
 
-    return docs.mapInArrow(sign, "id long, h long, set binary, n long, packed binary, bands array<long>")
+    return docs.mapInArrow(lean(sign), "id long, h long, set binary, n long, packed binary, bands array<long>")
 
 
 def _forest(packed: np.ndarray, sizes: np.ndarray, signer: Signer, most: int) -> list[tuple[int, int]]:
@@ -238,7 +238,7 @@ def _forests(members: DataFrame, config: MinHashConfig) -> DataFrame:
         yield _pairs(found)
 
     dealt = members.repartition("task", "part").sortWithinPartitions("task", "part")
-    return dealt.mapInArrow(forest, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(forest), "a long, b long").distinct()
 
 
 def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -288,7 +288,7 @@ def confirm(members: DataFrame, config: MinHashConfig) -> DataFrame:
 
     chosen = members.select("task", "part", "node", "set", "packed", "text", "large")
     dealt = chosen.repartition("task", "part").sortWithinPartitions("task", "part")
-    return dealt.mapInArrow(decide, "a long, b long, large boolean")
+    return dealt.mapInArrow(lean(decide), "a long, b long, large boolean")
 
 
 def _heavy(group: DataFrame, config: MinHashConfig) -> DataFrame:
