@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid.llm.common import fresh, keep
@@ -12,7 +13,6 @@ from tastegrid.llm.common import fresh, keep
 
 @dataclass(frozen=True)
 class PiiConfig:
-    rounds: int = 3
     #: A pattern speaks for a kind if it has seen so many known instances, and they are this share of all its instances.
     least_support: int = 3
     pattern_confidence: float = 0.6
@@ -36,6 +36,8 @@ _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 MARKED = r"(?<!\S)(?:[^\s0-9@(\[]++|[(\[](?!at[)\]]))*+(?:[0-9@]|[(\[]at[)\]])\S*+"
 #: Words of the longest written form of a kind: a card's 19 digits, each alone.
 LONGEST = 19
+#: Characters of a text that are cut at a time.
+CHUNK = 4096
 
 
 def _digits(match: Column) -> Column:
@@ -63,6 +65,11 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: in a lambda it would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches as ``array<struct<start, end, match>>``, in code points, in order.
 
@@ -71,7 +78,10 @@ def matches(text: Column, pattern: str) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(found, F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("match"), F.length(gap).cast("long").alias("gap")))
-    pairs = F.filter(pairs, lambda p: p["match"].isNotNull())
+    return bound(F.filter(pairs, lambda p: p["match"].isNotNull()), _placed)
+
+
+def _placed(pairs: Column) -> Column:
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / 512).cast("int")), lambda b: F.slice(pairs, b * 512 + 1, 512))
 
     def width(p: Column) -> Column:
@@ -143,12 +153,13 @@ def _looks_like(kind: str, core: Column) -> Column:
 def occurrences(docs: DataFrame, key: list[str], text: str) -> DataFrame:
     """Stretches of marked words that look like identifiers, with their place, their kind if they are a base span, and
     their context. Stretches that share letters with a base span but are none are no instances."""
-    has = docs.filter(F.col(text).rlike(r"[0-9@]|[(\[]at[)\]]"))
+    # A number of its own for each row, so that repeated rows are no common group.
+    has = docs.filter(F.col(text).rlike(r"[0-9@]|[(\[]at[)\]]")).withColumn("row", F.monotonically_increasing_id())
     spans = _merged({k: base_spans(F.col(text), k) for k in BASE})
-    found = has.select(*key, spans.alias("base"), F.split(F.col(text), MARKED, -1).alias("gaps"), matches(F.col(text), MARKED).alias("words"))
+    found = has.select("row", *key, spans.alias("base"), F.split(F.col(text), MARKED, -1).alias("gaps"), matches(F.col(text), MARKED).alias("words"))
     # Of the gaps the words beside them, and whether it is a single blank.
     gap = lambda g: F.struct((g == " ").alias("blank"), F.regexp_extract(g, r"(?<!\S)(\S++)\s*+$", 1).alias("left"), F.regexp_extract(g, r"^\s*+(\S++)", 1).alias("right"))
-    found = found.select(*key, "base", "words", F.transform("gaps", gap).alias("gaps"))
+    found = found.select("row", *key, "base", "words", F.transform("gaps", gap).alias("gaps"))
     # Only words of digits and their punctuation go on: no kind has a blank beside a letter.
     goes_on = lambda w: w["match"].rlike(r"^[\"'\[{<,;:]*+[0-9 ().+-]++$")
 
@@ -164,7 +175,16 @@ def occurrences(docs: DataFrame, key: list[str], text: str) -> DataFrame:
             F.slice("gaps", i + 2, size).alias("gaps"),
         )
 
-    rows = found.select(*key, "base", F.explode(F.transform("words", reach)).alias("w")).select(*key, "base", "w.*")
+    # Base spans and words become rows of their own: neither carries the other, however many there are.
+    event = "struct<kind:int,start:bigint,end:bigint,left:string,words:array<string>,gaps:array<struct<blank:boolean,left:string,right:string>>>"
+    none = lambda name: F.lit(None).alias(name)
+    as_base = lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"), none("left"), none("words"), none("gaps")).cast(event)
+
+    def as_word(w: Column, i: Column) -> Column:
+        r = reach(w, i)
+        return F.struct(none("kind"), r["start"].alias("start"), none("end"), r["left"].alias("left"), r["words"].alias("words"), r["gaps"].alias("gaps")).cast(event)
+
+    rows = found.select("row", *key, F.explode(F.concat(F.transform("base", as_base), F.transform("words", as_word))).alias("e")).select("row", *key, "e.*")
 
     def stretch(n: Column) -> Column:
         beyond = F.coalesce(F.get(F.col("words"), n), F.lit(""))
@@ -174,17 +194,27 @@ def occurrences(docs: DataFrame, key: list[str], text: str) -> DataFrame:
         return F.when(joined, F.struct(run.alias("run"), F.when(right != "", right).otherwise(beyond).alias("right")))
 
     lengths = F.sequence(F.lit(1), F.when(F.size("words") > 2, F.least(F.size("words"), F.lit(LONGEST))).otherwise(F.when((F.size("words") == 2) & F.get(F.col("gaps"), F.lit(0))["blank"], 2).otherwise(1)))
-    rows = rows.select(*key, "base", "start", "left", F.explode(F.filter(F.transform(lengths, stretch), lambda s: s.isNotNull())).alias("s"))
-    rows = rows.select(*key, "base", "start", "left", F.col("s.run").alias("run"), F.col("s.right").alias("right"))
-    rows = rows.withColumn("core", _core(F.col("run"))).filter("core <> ''")
-    rows = rows.withColumn("start", F.col("start") + F.instr("run", F.col("core")) - 1).withColumn("end", F.col("start") + F.length("core"))
-    # A generator of one row: no filter is pushed below it, so that places are not computed for each base span again.
-    rows = rows.select(*key, "base", "left", "right", F.explode(F.array(F.struct("core", "start", "end"))).alias("p")).select(*key, "base", "left", "right", "p.*")
-    kinds = F.array(*[F.lit(k) for k in BASE])
-    same = F.get(F.filter("base", lambda b: (b["start"] == F.col("start")) & (b["end"] == F.col("end"))), F.lit(0))
-    touched = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    stretches = F.when(F.col("kind").isNull(), F.filter(F.transform(lengths, stretch), lambda s: s.isNotNull())).otherwise(F.array(F.lit(None).cast("struct<run:string,right:string>")))
+    rows = rows.select("row", *key, "kind", "start", "end", "left", F.explode(stretches).alias("s"))
+    rows = rows.select("row", *key, "kind", "start", "end", "left", F.col("s.run").alias("run"), F.col("s.right").alias("right"))
+    rows = rows.withColumn("core", _core(F.col("run"))).filter("kind IS NOT NULL OR core <> ''")
+    begin = F.coalesce(F.col("start") + F.instr("run", F.col("core")) - 1, F.col("start"))
+    rows = rows.withColumn("start", begin).withColumn("end", F.coalesce("end", F.col("start") + F.length("core")))
+    # Of the stretches only what looks like a kind goes on, and an address with more zeros than look like one. A generator
+    # of one row: no filter is pushed below it, so that each is looked at once.
     like = F.filter(F.array(*[F.when(_looks_like(k, F.col("core")), F.lit(k)) for k in BASE]), lambda k: k.isNotNull())
-    rows = rows.withColumn("known", F.get(kinds, same["kind"])).withColumn("like", F.when(~touched, like)).filter("known IS NOT NULL OR size(like) > 0")
+    wanted = F.col("kind").isNotNull() | (F.size("like") > 0) | F.col("core").rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
+    rows = rows.select("row", *key, "kind", "left", "right", F.explode(F.array(F.struct("core", "start", "end", like.alias("like")))).alias("p"))
+    rows = rows.select("row", *key, "kind", "left", "right", "p.*").filter(wanted)
+    # Base spans in order of their start, and stretches where they end: the furthest end of the spans that start before a
+    # stretch ends tells whether one touches it.
+    order = [F.when(F.col("kind").isNull(), F.col("end")).otherwise(F.col("start")), F.col("kind").isNotNull()]
+    earlier = Window.partitionBy("row").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    furthest = F.max(F.when(F.col("kind").isNotNull(), F.col("end"))).over(earlier)
+    same = F.min("kind").over(Window.partitionBy("row", "start", "end"))
+    kinds = F.array(*[F.lit(k) for k in BASE])
+    rows = rows.withColumn("touched", F.coalesce(furthest > F.col("start"), F.lit(False))).withColumn("known", F.get(kinds, same))
+    rows = rows.filter("kind IS NULL").withColumn("like", F.when(~F.col("touched"), F.col("like"))).filter("known IS NOT NULL OR size(like) > 0")
     # Lexical patterns: the word before, the word after, and the written form of the stretch's last two words.
     form = F.regexp_replace(F.regexp_extract("core", r"(\S+\s)?\S+$", 0), "[0-9]", "0")
     form = F.regexp_replace(form, "[A-Za-z]+", "a")
@@ -201,24 +231,28 @@ def bootstrap(seen: DataFrame, config: PiiConfig) -> DataFrame:
 
     Patterns and instances are the two sides of a graph. Each round scores a pattern for a kind by the share of its
     instances known to be of the kind, then an instance by the chance that not all of its good patterns are wrong;
-    instances of high confidence are known in the next round. Links are distinct and counted before they are shuffled;
+    instances of high confidence are known from the next round on, and the rounds end with one that finds none. Links are distinct and counted before they are shuffled;
     a frequent pattern is one key of an aggregate, and only good patterns are joined.
     """
     links = keep(seen.select(F.explode("patterns").alias("pattern"), "core", "known", "like").distinct(), "pii-links")
     sizes = links.groupBy("pattern").agg(F.count_distinct("core").alias("n"))
     seeds = links.filter("known IS NOT NULL").select("core", F.col("known").alias("kind")).distinct()
     candidates = links.filter("known IS NULL").select("pattern", "core", F.explode("like").alias("kind"))
-    found = None
-    for turn in range(config.rounds):
-        known = seeds if found is None else seeds.union(found)
+    found = links.filter("1 = 0").select("core", F.lit("").alias("kind"))
+    turn = 0
+    while True:
+        known = seeds.union(found)
         support = links.select("pattern", "core").distinct().join(known, "core").groupBy("pattern", "kind").agg(F.count("*").alias("s"))
         good = support.join(sizes, "pattern").withColumn("confidence", F.col("s") / (F.col("n") + 1))
         good = good.filter((F.col("s") >= config.least_support) & (F.col("confidence") >= config.pattern_confidence))
-        scored = candidates.join(good.select("pattern", "kind", "confidence"), ["pattern", "kind"])
+        scored = candidates.join(found, "core", "left_anti").join(good.select("pattern", "kind", "confidence"), ["pattern", "kind"])
         scored = scored.groupBy("core", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("c"))
         best = scored.filter(F.col("c") >= config.instance_confidence).groupBy("core").agg(F.max_by("kind", F.struct("c", "kind")).alias("kind"))
-        found = keep(best, f"pii-found-{turn}")
-    return found
+        new = keep(best, f"pii-found-{turn}")
+        if new.isEmpty():
+            return found
+        found = new if not turn else found.unionByName(new)
+        turn += 1
 
 
 def find(docs: DataFrame, config: PiiConfig = PiiConfig(), text: str = "text", id_: str = "doc_id") -> DataFrame:
@@ -237,32 +271,67 @@ def find(docs: DataFrame, config: PiiConfig = PiiConfig(), text: str = "text", i
     kinds = F.array(*[F.lit(k) for k in BASE])
     number = (F.array_position(kinds, F.col("kind")) - 1).cast("int")
     spans = seen.filter("known IS NULL").join(found, "core").select("id", "h", F.struct("start", number.alias("kind"), "end").alias("span")).distinct()
+    # Of stretches of a kind that lie in each other the longest: one that an earlier one reaches beyond is left out.
+    wider = Window.partitionBy("id", "h", "span.kind").orderBy("span.start", F.desc("span.end")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("reached", F.max("span.end").over(wider)).filter("reached IS NULL OR reached < span.end")
     per_text = spans.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_list("span").alias(extra))
-    # Of stretches of a kind that lie in each other the longest.
-    longer = lambda e, o: (o["kind"] == e["kind"]) & (o["start"] <= e["start"]) & (e["end"] <= o["end"]) & (o != e)
-    per_text = per_text.withColumn(extra, F.filter(extra, lambda e: ~F.exists(extra, lambda o: longer(e, o))))
     per_text = per_text.withColumnsRenamed({"_id": fresh(docs.columns, "extra_id"), "_h": fresh(docs.columns, "extra_h")})
     key, key_hash = per_text.columns[:2]
     value = F.coalesce(F.col(text), F.lit(""))
     base = _merged({k: base_spans(value, k) for k in BASE})
     rows = keyed.withColumn("base_pii", base).join(per_text, F.col(id_).eqNullSafe(F.col(key)) & (F.col(hash_) == F.col(key_hash)), "left")
-    free = F.filter(F.coalesce(F.col(extra), F.array()), lambda e: ~F.exists("base_pii", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return rows.withColumn("pii", F.array_sort(F.concat("base_pii", free))).select(*docs.columns, "base_pii", "pii")
+    # A stretch that a base span touches has not become an instance.
+    added = F.coalesce(F.col(extra), F.array())
+    return rows.withColumn("pii", F.array_sort(F.concat("base_pii", added))).select(*docs.columns, "base_pii", "pii")
 
 
 def redact(found: DataFrame, text: str = "text") -> DataFrame:
     """Rows of :func:`find` with each span's text replaced by its kind in brackets; overlapping spans become one, named
     after the first. The spans' columns are gone."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in BASE])
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    chunks, spans = (fresh(found.columns, n) for n in ("chunks", "spans"))
+    # The text in stretches of equal length, so that a piece is cut from those that it lies in and not from the beginning.
+    cut_up = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    few = F.when(F.size("pii") > 0, F.struct(cut_up.alias("chunks"), _with_reach(F.col("pii")).alias("spans")))
+    # A generator of one row: both are computed once.
+    rows = found.select("*", F.explode(F.array(few)).alias(spans)).withColumn(chunks, F.col(f"{spans}.chunks")).withColumn(spans, F.col(f"{spans}.spans"))
+
+    def piece(start: Column, end: Column) -> Column:
+        first = F.floor(start / CHUNK)
+        lies_in = F.slice(chunks, (first + 1).cast("int"), (F.floor((end - 1) / CHUNK) - first + 1).cast("int"))
+        whole = F.substring(F.array_join(lies_in, ""), (start - first * CHUNK + 1).cast("int"), (end - start).cast("int"))
+        return F.when(end > start, whole).otherwise(F.lit(""))
+
+    kept = F.filter(spans, lambda s: s["start"] >= s["before"])
+    pieces = F.flatten(F.transform(kept, lambda s: F.array(piece(s["before"], s["start"]), F.element_at(names, s["kind"] + 1))))
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    rest = piece(last, F.length(F.col(text)).cast("long"))
+    redacted = F.when(F.size("pii") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))
+    return rows.withColumn(text, redacted).drop("pii", "base_pii", chunks, spans)
+
+
+def _with_reach(spans: Column) -> Column:
+    """Spans with ``before``, the furthest end of all spans before them; in parts, as in :func:`matches`."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / 512).cast("int")), lambda b: F.slice(spans, b * 512 + 1, 512))
+    kind = "struct<start:bigint,kind:int,end:bigint,before:bigint>"
+
+    def run(part: Column, reached: Column) -> Column:
+        start = F.struct(reached.alias("at"), F.array().cast(f"array<{kind}>").alias("rows"))
+        return F.aggregate(
+            part,
+            start,
+            lambda acc, s: F.struct(
+                F.greatest(acc["at"], s["end"]).alias("at"),
+                F.concat(acc["rows"], F.array(F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), acc["at"].alias("before")))).alias("rows"),
+            ),
+        )
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh_ = F.concat(acc["out"], before, F.element_at(names, s["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh_).otherwise(acc["out"]).alias("out"))
+    def join(acc: Column, part: Column) -> Column:
+        done = run(part, acc["at"])
+        return F.struct(done["at"].alias("at"), F.concat(acc["rows"], F.array(done["rows"])).alias("rows"))
 
-    rest = F.aggregate("pii", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn(text, F.when(F.size("pii") > 0, rest).otherwise(F.col(text))).drop("pii", "base_pii")
+    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{kind}>>").alias("rows"))
+    return F.aggregate(parts, empty, join, lambda acc: F.flatten(acc["rows"]))
 
 
 def pii_digest(docs: DataFrame, config: PiiConfig = PiiConfig()) -> DataFrame:

@@ -100,3 +100,40 @@ def test_only_dataframe_functions(docs):
 def test_very_long_words_take_no_longer_than_their_length(docs):
     row = pii_digest(docs((1, "a" * 400_000 + " " + "1" * 200_000 + " " + "a.b@c.de" + ".x" * 100_000))).collect()[0]
     assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 0, 0, 0) and row.spans == "email:600002:800010"
+
+
+def test_many_addresses_in_one_text(docs):
+    text = " ".join(f"u{k}@host{k}.example" if k % 2 else f"10.{k % 256}.{k // 256 % 256}.7" for k in range(30_000))
+    found = find(docs((1, text), (2, "x")))
+    rows = {r.doc_id: r for r in found.select("doc_id", "base_pii", "pii").collect()}
+    assert [tuple(s) for s in rows[1].base_pii] == brute(text) == [tuple(s) for s in rows[1].pii] and rows[2].pii == []
+    out = {r.doc_id: r.text for r in redact(found).collect()}
+    assert out[1] == " ".join("[EMAIL]" if k % 2 else "[IP]" for k in range(30_000)) and out[2] == "x"
+
+
+def test_rounds_go_on_until_one_finds_nothing(docs):
+    # Four generations: each is given away by the context that it shares with the one before, and has a form of its own.
+    rows = [f"dial0 +1 (212) 55{k // 100}-10{k % 100:02d} end0" for k in range(512)]
+    for g, (form, size) in enumerate([("(415) 555-{:04d}", 128), ("415-555-{:04d}", 32), ("415.555.{:04d}", 8), ("(415)555-{:04d}", 2)]):
+        rows += [f"dial{c} {form.format(k)} end{c}" for k in range(size) for c in (g, g + 1)]
+    rows += ["nothing 12 here", "dialz 415/5550000 endz"]
+    spans = {r.doc_id: r.spans for r in pii_digest(docs(*enumerate(rows))).collect()}
+    assert [text for i, text in enumerate(rows) if not spans[i]] == rows[-2:]
+
+
+def test_redaction_against_a_brute_force_version(docs):
+    rng = random.Random(12)
+    pieces = ["a.b@c.de", "1.2.3.4", "4111 1111 1111 1111", "+1 (212) 555-0100", " ", "x", "é😀", "\n", "1.2.3.4@e.fg"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(30))) + "z" * rng.choice([0, 5000]) for _ in range(150)]
+    texts += ["ab " * 3000 + "1.2.3.4" + " é" * 3000 + "a@b.cd", None, ""]
+    found = find(docs(*enumerate(texts)))
+    spans = {r.doc_id: [tuple(s) for s in r.pii] for r in found.collect()}
+    got = {r.doc_id: r.text for r in redact(found).collect()}
+    names = [f"[{k.upper()}]" for k in BASE]
+    for i, text in enumerate(texts):
+        out, at = "", 0
+        for start, kind, end in spans[i]:
+            if start >= at:
+                out += text[at:start] + names[kind]
+            at = max(at, end)
+        assert got[i] == (text if text is None else out + text[at:]), text
