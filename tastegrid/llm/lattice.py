@@ -25,7 +25,8 @@ class LatticeConfig:
     rounds: int = 2
     #: Weight of the vocabulary's own scores against the counts of the training words.
     prior_tokens: float = 10_000.0
-    longest_piece: int = 16
+    #: Pieces of more bytes are left out; None: none are.
+    longest_piece: int | None = None
 
 
 # The vocabulary ------------------------------------------------------------------------------------------------------
@@ -68,12 +69,12 @@ def _keys(names: list[bytes]) -> np.ndarray:
     return out
 
 
-def read_pieces(path: str | None = None, longest: int = 16) -> Pieces:
+def read_pieces(path: str | None = None, longest: int | None = None) -> Pieces:
     """Pieces of a sentencepiece model and their scores, turned into a distribution.
 
     The scores of the public vocabulary are ranks; rank ``r`` weighs ``1 / (r + 2.7)``. Pieces for single bytes make every
-    text possible. Pieces with a blank inside or longer than ``longest`` bytes never stand in a word or hardly ever, and
-    are left out.
+    text possible. Pieces with a blank inside never stand in a word and are left out, as are those longer than ``longest`` bytes
+    if that is given.
     """
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
     weight: dict[bytes, float] = {bytes([b]): 0.0 for b in range(256)}
@@ -81,7 +82,7 @@ def read_pieces(path: str | None = None, longest: int = 16) -> Pieces:
         if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i):
             continue
         name = model.id_to_piece(i).replace("▁", " ").encode()
-        if len(name) <= longest and b" " not in name[1:]:
+        if (longest is None or len(name) <= longest) and b" " not in name[1:]:
             weight[name] = weight.get(name, 0.0) + 1 / (2.7 - min(0.0, model.get_score(i)))
     least = min(w for w in weight.values() if w > 0)
     names = sorted(weight)

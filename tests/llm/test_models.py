@@ -55,6 +55,16 @@ def test_expected_uses_are_the_slope_of_the_log_probability(pieces):
     assert abs(sum(len(n) * u for n, u in zip(pieces.names, used)) - sum((len(w) + 1) * c for w, c in zip(words, counts))) < 1e-6
 
 
+def test_no_piece_is_too_long(pieces):
+    model = {len(n) for n in pieces.names}
+    assert max(model) > 16
+    whole = [n[1:] for n in pieces.names if len(n) > 16 and n[:1] == b" "]
+    logs = dict(zip(pieces.names, pieces.logs))
+    got = lattice.Lattice(whole, pieces).forward()[1]
+    assert np.allclose(got, [brute_log(w, logs, pieces.longest) for w in whole])
+    assert all(g > brute_log(w, logs, 16) for g, w in zip(got, whole))
+
+
 def test_scores_of_documents(docs):
     rng = random.Random(2)
     texts = {i: " ".join(rng.choice(["The", "the", "cat", "sat", f"odd{i}"]) for _ in range(rng.randrange(30))) for i in range(60)}
