@@ -825,9 +825,13 @@ def q_als_fit(v: Views) -> DataFrame:
 
 @query
 def q_als_predict(v: Views) -> DataFrame:
-    """Test ratings of known users and items, each with a finite prediction."""
-    predicted = als_ops.als_predict(_model(v), v.train_test()[1])
-    sound = F.col("prediction").isNotNull() & ~F.isnan("prediction") & (F.abs("prediction") < 1e6)
+    """Test ratings of known users and items, each with the prediction that is the product of the stored factors."""
+    model = _model(v)
+    predicted = als_ops.als_predict(model, v.train_test()[1])
+    predicted = predicted.join(model.userFactors.selectExpr("id AS user_id", "features AS mine"), "user_id")
+    predicted = predicted.join(model.itemFactors.selectExpr("id AS item_id", "features AS theirs"), "item_id")
+    product = F.aggregate(F.zip_with("mine", "theirs", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, x: acc + x)
+    sound = F.coalesce(F.abs(F.col("prediction") - product) < 1e-4, F.lit(False))
     return predicted.select("user_id", "item_id", "rating", sound.alias("sound"))
 
 
@@ -984,7 +988,7 @@ def q_retrain_job(v: Views) -> DataFrame:
     tables.write_silver_ratings(v.ratings(), paths.silver_ratings)
     tables.write_silver_items(v.items(), paths.silver_items)
     v.feedback().write.option("header", True).csv(paths.feedback)
-    result = retrain_job(spark, paths, TrainingConfig(largest_request=20))
+    result = retrain_job(spark, paths, TrainingConfig())
     lists = tables.read_gold_fallback(spark, paths.gold_fallback)
     lists = lists.select("fallback_type", "genre", F.col("rank").cast("long").alias("rank"), F.col("item_id").cast("long").alias("value"))
 

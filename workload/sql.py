@@ -693,5 +693,5 @@ oracle(
     """SELECT fallback_type, genre, CAST(rank AS BIGINT) AS rank, CAST(item_id AS BIGINT) AS value FROM fb_all
        UNION ALL SELECT 'trials', NULL, 0, 8 UNION ALL SELECT 'metrics', NULL, 0, 1
        UNION ALL SELECT 'models', NULL, 0, 1 UNION ALL SELECT 'violations', NULL, 0, 0""",
-    fallback("merged", 20),
+    fallback("merged", 50),
 )
