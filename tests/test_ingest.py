@@ -115,6 +115,23 @@ def test_compaction_keeps_the_rows_and_bounds_the_files(spark, tmp_path, rows):
     assert not store.append(rows(ingest.PROFILE_WRITE, (9, 9, 9.0, "x", 0, 0)), 2)
 
 
+def test_markers_of_shared_batches_are_folded(spark, tmp_path, rows):
+    root = str(tmp_path)
+    store = ingest.feedback_store(root)
+    for n in range(9):
+        outputs = {ingest.RATINGS: rows(ingest.RATING, (n % 4, 1, float(n % 5) + 1, 7)), ingest.LATE: rows(ingest.RATING, (n, 1, 1.0, 7))}
+        assert batches.write_batch(spark, root, n, outputs)
+        if n % 2:
+            store.compact(spark)
+    assert batches.committed(spark, root) == list(range(9))
+    assert not any(batches.write_batch(spark, root, n, {}) for n in range(9))
+    assert len([p for p in (tmp_path / "_commits").iterdir() if p.name.startswith("batch_id")]) <= 3
+    assert len([p for p in (tmp_path / "_folded").iterdir() if p.name.startswith("upto")]) <= 2
+    assert len([p for p in (tmp_path / "_snapshots").iterdir() if p.name.startswith("upto")]) == 2
+    assert tuples(ingest.ingested(spark, root, ingest.LATE), "user_id") == [(n,) for n in range(9)]
+    assert tuples(ingest.ingested(spark, root, ingest.RATINGS), "user_id", "rating") == [(0, 5.0), (1, 2.0), (2, 3.0), (3, 4.0)]
+
+
 def test_a_compaction_that_fails_changes_nothing(spark, tmp_path, rows, monkeypatch):
     store = ingest.profile_rating_store(str(tmp_path))
     store.append(rows(ingest.PROFILE_WRITE, (1, 1, 2.0, "ui", 1, 1)), 0)
