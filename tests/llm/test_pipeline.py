@@ -63,7 +63,7 @@ def test_stages_on_odd_rows_and_none(spark, oddities, docs, small_dir):
 
 
 def test_registration():
-    assert len([n for n in QUERIES if n.startswith("op")]) == 10
+    assert len([n for n in QUERIES if n.startswith("op")]) == 13
     assert {*QUERIES, "pipeline"} <= set(contract.queries())
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "near_duplicates", "personal_data", "source_mix", "tokens"]
 
