@@ -24,6 +24,11 @@ CHECKED = [
     "latest_profile_rating",
     "history_last_n",
     "stream_feedback_sink",
+    "stored_history",
+    "ingest_feedback",
+    "profile_rating_store",
+    "serve_distinct",
+    "published_fallback",
 ]
 
 
