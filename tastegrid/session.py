@@ -10,7 +10,10 @@ from pyspark.storagelevel import StorageLevel
 
 # A skewed join partition is split even when that costs one more shuffle above the join: several operators rank rows
 # per user right after a join on the user, and a user may own a large share of all rows.
+# Shuffled rows are compressed and grow many times over where they are sorted, so tasks take less than Spark's 64 MB each:
+# a task's memory then does not grow with the input up to that size, and sorts need not spill.
 SKEW_SETTINGS = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
